@@ -5,6 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held_out(modulus: int, rest: int):
+    return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == rest).alias("held_out")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.media import text_media
+
+    return text_media(table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False).drop("text")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.langid import fit, language_of
+
+    docs = table(spark, sf_dir, "documents")
+    scored = language_of(docs.select("doc_id", "text"), fit(docs))
+    return scored.select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.quality import fit, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_scores(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,12 +43,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from siltstone.llm.bpe import bpe_round_trip
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": op9_bpe}
+    return {f.__name__: f for f in (op5_media, op6_language, op7_quality, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
