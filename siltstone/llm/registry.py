@@ -16,6 +16,19 @@ def held_out(modulus: int, rest: int):
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == rest).alias("held_out")
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.lines import drop_shared_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_shared_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.media import text_media
 
@@ -47,9 +60,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.warc import derivatives, responses
+
+    made = derivatives(responses(table(spark, sf_dir, "pages")))
+    return made.select("page_id", *[c for c in made.columns if c not in ("page_id", "record")], F.sha2("record", 256).alias("record_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_media, op6_language, op7_quality, op9_bpe)}
+    return {f.__name__: f for f in (op1_mix, op3_lines, op5_media, op6_language, op7_quality, op9_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from siltstone.llm import lines, mixing
+
+    return {"op1_mix": mixing.ORACLE, "op3_lines": lines.ORACLE}
