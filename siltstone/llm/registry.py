@@ -22,6 +22,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.topk import binary_codes, top_k
+
+    codes = binary_codes(table(spark, sf_dir, "embeddings"))
+    return top_k(codes, codes.where(F.col("id") % 50 == 0))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.lines import drop_shared_lines
 
@@ -29,6 +36,12 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.media import text_media
 
@@ -68,10 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op3_lines, op5_media, op6_language, op7_quality, op9_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_mix, op2_topk, op3_lines, op4_simhash, op5_media, op6_language, op7_quality, op9_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from siltstone.llm import lines, mixing
+    from siltstone.llm import lines, mixing, topk
 
-    return {"op1_mix": mixing.ORACLE, "op3_lines": lines.ORACLE}
+    return {"op1_mix": mixing.ORACLE, "op2_topk": topk.ORACLE, "op3_lines": lines.ORACLE}
