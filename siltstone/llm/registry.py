@@ -64,6 +64,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0), "score", "predicted")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,7 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_topk, op3_lines, op4_simhash, op5_media, op6_language, op7_quality, op9_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_mix, op2_topk, op3_lines, op4_simhash, op5_media, op6_language, op7_quality, op8_substrings, op9_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,10 +38,9 @@ CODES, QUERIES = 1 << 16, 1 << 11
 
 def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and code: bit i is 1 where component i of a 64-dimensional vector is at least zero."""
-    parts = [F.when(F.element_at(vector_col, i + 1) >= 0, F.when(~F.isnan(F.element_at(vector_col, i + 1)), F.lit(1 << i if i < 63 else -(1 << 63)))).otherwise(0) for i in range(BITS)]
-    code = F.lit(0).cast("long")
-    for p in parts:
-        code = code.bitwiseOR(F.coalesce(p, F.lit(0)).cast("long"))
+    # NaN is the largest number to Spark
+    bits = F.transform(F.col(vector_col), lambda x, i: F.when((x >= 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")))
+    code = F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
     whole = (F.size(vector_col) == BITS) & F.col(id_col).isNotNull()
     return vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
 
