@@ -35,10 +35,11 @@ KEY_BITS = 60
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """doc_id, source, size and key of each document."""
+    """doc_id, row (hash of the text), source, size and key of each document."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return docs.select(
         F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_col).alias("row"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         F.conv(F.substring(F.md5(name), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
@@ -68,7 +69,7 @@ def mix(
     rows_per_range: int = 20_000,
     **columns: str,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document."""
+    """doc_id, row, source, size, source_size, target, taken of every document."""
     base = written(sized(docs, **columns), "sized")
     rows = base.count()
     bits = max(6, math.ceil(math.log2(max(rows, 1) / rows_per_range)) if rows > rows_per_range else 0)
@@ -84,17 +85,31 @@ def mix(
     goal = targets(named, ratio, weights, max_epochs)
     goal = goal.select(F.col("source").isNull().alias("nil"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target")
     ranges = ranges.join(goal, ["nil", "source"]).select(*at, "offset", "source_size", "target")
-    inside = Window.partitionBy(*at).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*at).orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     out = base.withColumn("prefix", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, at)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
     rest = budget - epochs * F.col("source_size")
     last = F.least(F.greatest(rest - F.col("offset") - F.col("prefix"), F.lit(0).cast("long")), F.col("size"))
     return out.select(
-        "doc_id", F.when(~F.col("nil"), F.col("source")).alias("source"), "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken")
+        "doc_id", "row", F.when(~F.col("nil"), F.col("source")).alias("source"), "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken")
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: each document as often as its words are taken, the one that is cut to the nearest whole.
+
+    All columns stay. Documents without words take no part. Equal rows come
+    as one, as often as all of them together.
+    """
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    keys = {"__doc": F.coalesce(F.col("doc_id"), F.lit(0)), "__nil": F.col("doc_id").isNull(), "__row": F.col("row")}
+    plan = plan.where("taken > 0").withColumns(keys).groupBy("__doc", "__nil", "__row").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col), F.lit(0)), "__nil": F.col(id_col).isNull(), "__row": F.xxhash64(text_col)})
+    keyed = keyed.join(plan.where("__times > 0"), ["__doc", "__nil", "__row"]).dropDuplicates(["__doc", "__nil", "__row"])
+    return keyed.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).drop("__n")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
              ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),

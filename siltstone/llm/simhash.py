@@ -253,12 +253,23 @@ def _edges(rows: pa.Table, keys: list[str], distance: int) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
-    marked = written(fingerprints(docs.select(id_col, text_col), text_col).select(F.col(id_col).alias("doc_id"), "fp"), "fingerprints")
+    """doc_id, row (hash of the text), fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    marked = written(fingerprints(rows).select("doc_id", "row", "fp"), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     edges = written(links(nodes.select("fp"), distance, block), "links")
     named = components(edges)  # node, root
     rooted = nodes.join(named.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", F.lower(F.lpad(F.hex("root"), 16, "0")).alias("class"))
+    return marked.join(classes, "fp").select("doc_id", "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document of the smallest id (then text hash) of each class of near-duplicates; all columns stay."""
+    found = near_duplicates(docs, distance, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), F.col("doc_id"), F.col("row")))
+    stay = found.groupBy("class").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("__doc"), F.col("k.nil").alias("__nil"), F.col("k.row").alias("__row"))
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col), F.lit(0)), "__nil": F.col(id_col).isNull(), "__row": F.xxhash64(text_col)})
+    kept = keyed.join(stay, ["__doc", "__nil", "__row"], "left_semi")
+    return kept.dropDuplicates(["__doc", "__nil", "__row"]).drop("__doc", "__nil", "__row")
