@@ -1 +1 @@
-
+"""Column functions: text, spans and vectors. All of them stay in the JVM."""
