@@ -70,8 +70,8 @@ def options(docs: DataFrame, columns: list[str]) -> DataFrame:
     kinds = dict(docs.dtypes)
     out = None
     for name in columns:
-        items = F.explode(name) if kinds[name].startswith("array") else F.col(name)
-        one = docs.select(F.lit(name).alias("field"), items.cast("string").alias("value"))
+        one = docs.select(F.lit(name).alias("field"), (F.explode(name) if kinds[name].startswith("array") else F.col(name)).alias("value"))
+        one = one.withColumn("value", F.col("value").cast("string"))
         out = one if out is None else out.unionByName(one)
     return out.select("field", strip("value").alias("value")).where(F.col("value") != "").distinct().orderBy("field", "value")
 

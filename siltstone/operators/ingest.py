@@ -113,8 +113,10 @@ class Ingestion:
     @property
     def errors(self) -> DataFrame:
         """ordinal, label, stage, field, message: one row an error."""
-        one = lambda stage, c: self.annotated.select("ordinal", "label", F.lit(stage).alias("stage"), F.inline(c))
-        return one("wire_format", "wire_errors").unionByName(one("metadata_typing", "typing_errors"))
+        staged = lambda name, c: F.transform(c, lambda e: F.struct(F.lit(name).alias("stage"), e["field"].alias("field"), e["message"].alias("message")))
+        both = F.concat(staged("wire_format", F.col("wire_errors")), staged("metadata_typing", F.col("typing_errors")))
+        # inline_outer, as inline would have its non-empty test pushed down and all checks evaluated twice
+        return self.annotated.select("ordinal", "label", F.inline_outer(both)).where(F.col("field").isNotNull())
 
     @property
     def duplicate_ids(self) -> DataFrame:
