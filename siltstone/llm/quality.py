@@ -65,7 +65,8 @@ class ByteNet:
             return np.full(len(offs) - 1, self.constant)
         padded, first, blocks = chunks(data, offs)
         feature = np.concatenate([self.pooled(padded, first, blocks), echoes(padded, first, blocks)[:, None]], 1)
-        return 1 / (1 + np.exp(-(feature @ self.unit + self.shift[0]).astype(np.float64)))
+        # single-precision products differ in their last bits with a text's place in its batch
+        return np.round(1 / (1 + np.exp(-(feature @ self.unit + self.shift[0]).astype(np.float64))), 6)
 
 
 def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,9 +90,10 @@ def echoes(padded: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndar
     view = lambda at: np.ndarray((n,), "<u8", room.data, at, (STEP,))
     here = view(far).copy()
     same = np.zeros(n, bool)
+    place = (np.arange(n) - np.repeat(first, blocks)) * STEP
     for lag in LAGS:
-        same |= here == view(far - lag)
-    same &= here != 0
+        same |= (here == view(far - lag)) & (place >= lag)  # not beyond the text's start
+    same[first + blocks - 1] = False  # nor from its padding into the next text
     run = np.concatenate([[0], np.cumsum(same)])
     inside = np.minimum(np.arange(n) + SPAN, np.repeat(first + blocks, blocks))
     share = (run[inside] - run[:-1]).astype(np.float32) / SPAN
