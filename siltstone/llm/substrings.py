@@ -211,10 +211,12 @@ def _as_text(column: pa.Array) -> pa.Array:
 def _glued(pieces: DataFrame) -> DataFrame:
     """Paths: pieces joined end to start along one diagonal of a document and its source."""
     line = Window.partitionBy("doc", "row", "s_doc", "s_row", "shift").orderBy("start")
-    shifted = pieces.withColumn("shift", F.col("s_start") - F.col("start"))
-    opens = F.coalesce((F.lag(F.col("start") + F.col("edges")).over(line) != F.col("start")).cast("int"), F.lit(1))
-    path = shifted.withColumn("opens", opens).withColumn("path", F.sum("opens").over(line))
-    out = path.groupBy("doc", "row", "s_doc", "s_row", "shift", "path").agg(F.min("start").alias("start"), F.sum("edges").cast("int").alias("edges"))
+    shifted = pieces.withColumn("shift", F.col("s_start") - F.col("start")).withColumn("end", F.col("start") + F.col("edges"))
+    # by the furthest end so far: repeated rows give pieces more than once
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before >= F.col("start"), 0).otherwise(1)
+    path = shifted.withColumn("opens", opens).withColumn("path", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = path.groupBy("doc", "row", "s_doc", "s_row", "shift", "path").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).cast("int").alias("edges"))
     return out.select("doc", "row", "start", "edges", "s_doc", "s_row", (F.col("start") + F.col("shift")).cast("int").alias("s_start"))
 
 
