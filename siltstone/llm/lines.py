@@ -65,18 +65,18 @@ def drop_shared_lines(
     if keep_first:
         hits = hits.where(~(F.struct("doc", "row", "place") == F.col("first")))
     # where equal rows have a doc_id in common each place is listed once for all of them
-    gone = hits.groupBy("doc", "row").agg(F.collect_set("place").alias("gone"))
+    gone = hits.groupBy("doc", "row").agg(F.collect_set("place").alias("__gone"))
     plain = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed") and c not in (id_col, text_col, site_col)])
     names = plain.columns
     joined = plain.withColumns({"__doc": doc, "__row": row}).join(gone.withColumnsRenamed({"doc": "__doc", "row": "__row"}), ["__doc", "__row"], "left")
     parts = F.split(text_col, "\n", -1)
-    left = F.filter(F.transform(parts, lambda line, i: F.when(~F.array_contains("gone", i), line)), lambda line: line.isNotNull())
-    kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.transform(parts, lambda line, i: F.when(~F.array_contains("__gone", i), line)), lambda line: line.isNotNull())
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     return joined.select(
         *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
