@@ -30,4 +30,5 @@ def norm(a: Column | str) -> Column:
 def cosine(a: Column | str, b: Column | str, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
     """Cosine similarity; 0 where either vector is zero. Norms may be given where they are stored."""
     length = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
+    product = dot(a, b)  # of a zero vector too, so that unequal sizes never pass
+    return F.when(length == 0, product * 0.0).otherwise(product / length)

@@ -64,3 +64,4 @@ def write_cache(entries: DataFrame, path: str) -> None:
         fs.rename(place, old)
     fs.rename(fresh, place)
     fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
