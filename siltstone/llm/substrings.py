@@ -6,8 +6,9 @@ word n-grams), together with the neighbouring occurrences that share it: a
 super-edge. There each edge that a smaller doc_id also has is found, with the
 source coordinates of its first occurrence, and edges that follow one another
 both in the document and in the source, so that no branch lies between them,
-become one path piece. Pieces are glued where the end of one is the start of
-the next in both coordinates; the paths that result are as long as the repeat.
+become one path piece. Pieces are glued through joins where the end of one is
+the start of the next in both coordinates; the paths that result are as long
+as the repeat.
 
 Each path is then verified: documents are joined with the paths they hold or
 are the source of, both sides' words are digested, and the digests are joined
@@ -31,7 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import flat_text, slices, text_bytes
@@ -209,15 +210,22 @@ def _as_text(column: pa.Array) -> pa.Array:
 
 
 def _glued(pieces: DataFrame) -> DataFrame:
-    """Paths: pieces joined end to start along one diagonal of a document and its source."""
-    line = Window.partitionBy("doc", "row", "s_doc", "s_row", "shift").orderBy("start")
-    shifted = pieces.withColumn("shift", F.col("s_start") - F.col("start")).withColumn("end", F.col("start") + F.col("edges"))
-    # by the furthest end so far: repeated rows give pieces more than once
-    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before >= F.col("start"), 0).otherwise(1)
-    path = shifted.withColumn("opens", opens).withColumn("path", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = path.groupBy("doc", "row", "s_doc", "s_row", "shift", "path").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).cast("int").alias("edges"))
-    return out.select("doc", "row", "start", "edges", "s_doc", "s_row", (F.col("start") + F.col("shift")).cast("int").alias("s_start"))
+    """Paths: pieces joined end to start along one diagonal of a document and its source.
+
+    A piece that no other one ends at begins a path, and a piece that no other
+    one starts at ends it; two anti-joins find them. Paths of a diagonal don't
+    overlap, so its n-th beginning and n-th end, joined, bound its n-th path.
+    The number of joins doesn't depend on how many pieces a path has.
+    """
+    line = ["doc", "row", "s_doc", "s_row", "shift"]
+    placed = pieces.select("doc", "row", "s_doc", "s_row", (F.col("s_start") - F.col("start")).alias("shift"), "start", (F.col("start") + F.col("edges")).alias("end"))
+    heads = placed.select(*line, "start").join(placed.select(*line, F.col("end").alias("start")), [*line, "start"], "left_anti")
+    tails = placed.select(*line, "end").join(placed.select(*line, F.col("start").alias("end")), [*line, "end"], "left_anti")
+    # sets, as repeated rows give pieces more than once; a document's length bounds them
+    heads = heads.groupBy(*line).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    tails = tails.groupBy(*line).agg(F.sort_array(F.collect_set("end")).alias("ends"))
+    paths = heads.join(tails, line).select(*line, F.inline(F.arrays_zip("starts", "ends")).alias("start", "end"))
+    return paths.select("doc", "row", "start", (F.col("end") - F.col("start")).cast("int").alias("edges"), "s_doc", "s_row", (F.col("start") + F.col("shift")).cast("int").alias("s_start"))
 
 
 DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, held array<struct<s_doc:long,s_row:int,s_start:int,edges:int,digest:binary>>, given array<struct<s_doc:long,s_row:int,s_start:int,edges:int,digest:binary>>"
