@@ -10,6 +10,9 @@ become one path piece. Pieces are glued through joins where the end of one is
 the start of the next in both coordinates; the paths that result are as long
 as the repeat.
 
+Minimizers with very many occurrences go another way (`_hot_pieces`), in which
+equal super-edges are aggregated before the shuffle and no task gathers them.
+
 Each path is then verified: documents are joined with the paths they hold or
 are the source of, both sides' words are digested, and the digests are joined
 on the source coordinates. Hashes can only err by calling different windows
@@ -43,6 +46,10 @@ NO_ID = 2**63 - 1
 ATTEMPTS = 4
 SPACE = np.zeros(256, bool)
 SPACE[[*range(9, 14), 32]] = True
+#: One document in so many is looked at for very frequent minimizers.
+SAMPLE = 64
+#: Most keys (8 bytes each) that are broadcast.
+MOST_BROADCAST = 10_000
 #: Rows of super-edges that a task turns into arrays at once.
 AT_ONCE = 1 << 16
 
@@ -171,38 +178,100 @@ class FirstSeen:
         self.kept = tuple(a[stay] for a in (all_key, all_edge, all_doc, all_row, all_place))
         # repeats, in the order of the input: neighbours of one super-edge stand side by side
         hit = np.flatnonzero(all_doc[source[old:]] < all_doc[old:])
-        if not len(hit):
-            return None
-        src, own = source[old:][hit], hit + old
-        s_doc, s_row, s_place = all_doc[src], all_row[src], all_place[src]
-        same = piece[hit]
-        path = np.ones(len(hit), bool)
-        path[1:] = (same[1:] != same[:-1]) | (hit[1:] != hit[:-1] + 1) | (s_doc[1:] != s_doc[:-1]) | (s_row[1:] != s_row[:-1]) | (s_place[1:] != s_place[:-1] + 1)
-        head = np.flatnonzero(path)
-        length = np.diff(np.append(head, len(hit)))
-        return all_doc[own[head]], all_row[own[head]], all_place[own[head]], length, s_doc[head], s_row[head], s_place[head]
+        src = source[old:][hit]
+        return compacted(piece, hit, doc, row, place, all_doc[src], all_row[src], all_place[src])
+
+
+def compacted(piece, hit, doc, row, place, s_doc, s_row, s_place):
+    """Path pieces of the edges numbered by ``hit``: runs that are neighbours in the document and in the source.
+
+    piece: each edge's super-edge; doc and row by super-edge, place by edge,
+    the source's coordinates by hit.
+    """
+    if not len(hit):
+        return None
+    own = piece[hit]
+    new = np.ones(len(hit), bool)
+    new[1:] = (own[1:] != own[:-1]) | (hit[1:] != hit[:-1] + 1) | (s_doc[1:] != s_doc[:-1]) | (s_row[1:] != s_row[:-1]) | (s_place[1:] != s_place[:-1] + 1)
+    head = np.flatnonzero(new)
+    length = np.diff(np.append(head, len(hit)))
+    return doc[own[head]], row[own[head]], place[hit[head]], length, s_doc[head], s_row[head], s_place[head]
 
 
 PIECE = "doc long, row int, start int, edges int, s_doc long, s_row int, s_start int"
 
 
+def _batch(made) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()).cast(t) for m, t in zip(made, types)], names=["doc", "row", "start", "edges", "s_doc", "s_row", "s_start"])
+
+
+def _longs(part: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+
+
 def _pieces(occurrences: DataFrame) -> DataFrame:
+    """Path pieces, each minimizer's occurrences read as one sorted stream."""
+
     def run(batches):
         seen = FirstSeen()
         for batch in batches:
             for a in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(a, AT_ONCE)
                 raw, at = flat_text(_as_text(part.column("edges")))
-                key, doc, row, start = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc", "row", "start"))
-                made = seen.take(key, doc, row, start, np.frombuffer(raw.tobytes(), "<u4"), at // 4)
+                made = seen.take(*_longs(part, ("key", "doc", "row", "start")), np.frombuffer(raw.tobytes(), "<u4"), at // 4)
                 if made is not None:
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()).cast(t) for m, t in zip(made, types)], names=["doc", "row", "start", "edges", "s_doc", "s_row", "s_start"])
+                    yield _batch(made)
 
     ordered = occurrences.repartition("key").sortWithinPartitions("key", "doc", "row", "start")
     return ordered.mapInArrow(run, PIECE)
 
 
+def _hot_keys(docs: DataFrame, seed: int, hot_rows: int) -> DataFrame:
+    """Minimizers that, going by the documents of one hash bucket, have ``hot_rows`` occurrences or more.
+
+    The estimate decides only which of two exact ways a minimizer's
+    occurrences go.
+    """
+    bucket = docs.where(F.pmod(F.xxhash64("doc", "row"), F.lit(SAMPLE)) == 0)
+    return _occurrences(bucket, seed).groupBy("key").count().where(F.col("count") >= max(2, hot_rows // SAMPLE)).select("key")
+
+
+def _hot_pieces(occurrences: DataFrame) -> DataFrame:
+    """Path pieces of minimizers with very many occurrences, without bringing those of one together.
+
+    Equal super-edges are aggregated before the shuffle; first occurrences are
+    found among the distinct ones, and each occurrence is joined with those of
+    its own super-edge's edges.
+    """
+    same = ["key", "edges"]
+    distinct = written(occurrences.groupBy(*same).agg(F.min(F.struct("doc", "row", "start")).alias("first")), "hot")
+    # n: place in the super-edge; four bytes an edge
+    places = F.posexplode(F.transform(F.sequence(F.lit(0), F.shiftright(F.length("edges"), 2) - 1), lambda i: F.substring("edges", i * 4 + 1, F.lit(4)))).alias("n", "edge")
+    each = distinct.select(*same, "first", places)
+    at = F.struct(F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), (F.col("first.start") + F.col("n")).alias("start"))
+    source = each.groupBy("key", "edge").agg(F.min(at).alias("source"))
+    sources = each.join(source, ["key", "edge"]).groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("n", "source"))).alias("sources"))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(a, AT_ONCE)
+                doc, row, start = _longs(part, ("doc", "row", "start"))
+                lists = part.column("sources")
+                count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                found = lists.flatten().field("source")
+                s_doc, s_row, s_place = (found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "row", "start"))
+                piece = np.repeat(np.arange(part.num_rows), count)
+                place = start[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+                hit = np.flatnonzero(s_doc < doc[piece])
+                made = compacted(piece, hit, doc, row, place, s_doc[hit], s_row[hit], s_place[hit])
+                if made is not None:
+                    yield _batch(made)
+
+    return occurrences.join(sources, same).select("doc", "row", "start", "sources").mapInArrow(run, PIECE)
+
+
 def _as_text(column: pa.Array) -> pa.Array:
     """The same buffers, typed as a string column for flat_text."""
     kind = pa.large_string() if pa.types.is_large_binary(column.type) else pa.string()
@@ -269,14 +338,27 @@ def _applied(docs: DataFrame, paths: DataFrame) -> DataFrame:
     return docs.join(roles, ["doc", "row"], "left").select("doc_id", "text", "roles").mapInArrow(run, DONE)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+def _all_pieces(docs: DataFrame, seed: int, hot_rows: int) -> DataFrame:
+    occurrences = _occurrences(docs, seed)
+    hot = written(_hot_keys(docs, seed, hot_rows), "hot-keys")
+    n = hot.count()
+    if not n:
+        return _pieces(occurrences)
+    hot = F.broadcast(hot) if n <= MOST_BROADCAST else hot
+    return _pieces(occurrences.join(hot, "key", "left_anti")).unionByName(_hot_pieces(occurrences.join(hot, "key", "left_semi")))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 500_000) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document.
+
+    hot_rows: occurrences from which on a minimizer is not read by one task.
+    """
     spark = docs.sparkSession
     named = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.xxhash64(text_col), F.lit(0)).cast("long").alias("row"), F.col(text_col).alias("text")
     ).withColumn("row", F.shiftright("row", 32).cast("int"))
     for seed in range(ATTEMPTS):
-        pieces = written(_pieces(_occurrences(named, seed)), "pieces")
+        pieces = written(_all_pieces(named, seed, hot_rows), "pieces")
         release(spark)
         paths = written(_glued(pieces), "paths")
         release(spark)

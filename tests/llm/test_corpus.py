@@ -292,6 +292,17 @@ def test_repeats(spark, monkeypatch, seed):
     assert substrings.remove_repeats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_repeats_of_hot_passages(spark, monkeypatch, most):
+    """With every minimizer, and with some, on the way for very frequent ones."""
+    monkeypatch.setattr(substrings, "MOST_BROADCAST", most)
+    rows = substring_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample in (1, 4):
+        monkeypatch.setattr(substrings, "SAMPLE", sample)
+        assert sorted(map(tuple, substrings.remove_repeats(df, hot_rows=2 if sample == 1 else 8).collect()), key=str) == repeats_by_hand(rows)
+
+
 def test_repeats_survive_bad_hashes(spark, monkeypatch):
     """Hashes that call everything equal are found out, and the job is done again."""
     real = substrings._occurrences
