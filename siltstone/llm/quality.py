@@ -27,6 +27,8 @@ from siltstone.llm.batches import append_columns, flat_text
 STEP, DIMS, FILTERS = 4, 6, 24
 #: Distances at which repeats are looked for, and the chunks over which they are averaged.
 LAGS, SPAN = range(2, 33), 12
+#: Blocks whose responses are held at once.
+ROWS = 1 << 15
 
 
 class ByteNet:
@@ -46,18 +48,26 @@ class ByteNet:
 
     def responses(self, padded: np.ndarray) -> np.ndarray:
         """Filter responses of the chunk that begins at each block but the last."""
-        pairs = np.concatenate([np.repeat(self.embed, 256, 0), np.tile(self.embed, (256, 1))], 1)
         # little-endian: the first byte is the low one, which varies fastest
-        pairs = np.concatenate([pairs[:, DIMS:], pairs[:, :DIMS]], 1)
+        pairs = np.concatenate([np.tile(self.embed, (256, 1)), np.repeat(self.embed, 256, 0)], 1)
         blocks = pairs[padded.view("<u2")].reshape(-1, STEP * DIMS)
         both = np.concatenate([self.filters[: STEP * DIMS], self.filters[STEP * DIMS :]], 1)
         part = blocks @ both
         return part[:-1, :FILTERS] + part[1:, FILTERS:]
 
     def pooled(self, padded: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """[texts, FILTERS] responses after pooling and rectifying."""
-        edges = np.stack([first, first + blocks - 1], 1).ravel()
-        top = np.maximum.reduceat(self.responses(padded), edges[:-1], axis=0)[::2] if len(first) else np.zeros((0, FILTERS), np.float32)
+        """[texts, FILTERS] responses after pooling and rectifying; a long text is pooled piece by piece."""
+        top = np.full((len(first), FILTERS), -np.inf, np.float32)
+        last = first + blocks - 1  # the empty block, where no chunk begins
+        for a in range(0, len(padded) // STEP - 1, ROWS):
+            b = min(a + ROWS, len(padded) // STEP - 1)
+            response = self.responses(padded[a * STEP : (b + 1) * STEP])
+            i, j = np.searchsorted(last, a, side="right"), np.searchsorted(first, b)
+            if i == j:
+                continue
+            edges = np.stack([np.maximum(first[i:j], a), np.minimum(last[i:j], b)], 1).ravel() - a
+            edges = edges[:-1] if edges[-1] == b - a else edges
+            top[i:j] = np.maximum(top[i:j], np.maximum.reduceat(response, edges, axis=0)[::2])
         return np.maximum(top + self.bias, 0)
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -83,21 +93,26 @@ def echoes(padded: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndar
     """The largest share, over SPAN chunks in a row, of chunks that repeat the bytes of shortly before."""
     if not len(first):
         return np.zeros(0, np.float32)
-    far = LAGS[-1]
+    far, n = LAGS[-1], len(padded) // STEP
     room = np.zeros(len(padded) + far + 8, np.uint8)
     room[far : far + len(padded)] = padded
-    n = len(padded) // STEP
-    view = lambda at: np.ndarray((n,), "<u8", room.data, at, (STEP,))
-    here = view(far).copy()
-    same = np.zeros(n, bool)
-    place = (np.arange(n) - np.repeat(first, blocks)) * STEP
-    for lag in LAGS:
-        same |= (here == view(far - lag)) & (place >= lag)  # not beyond the text's start
-    same[first + blocks - 1] = False  # nor from its padding into the next text
-    run = np.concatenate([[0], np.cumsum(same)])
-    inside = np.minimum(np.arange(n) + SPAN, np.repeat(first + blocks, blocks))
-    share = (run[inside] - run[:-1]).astype(np.float32) / SPAN
-    return np.maximum.reduceat(share, first)
+    last = first + blocks - 1
+    out = np.zeros(len(first), np.float32)
+    for a in range(0, n, ROWS):
+        b, e = min(a + ROWS, n), min(a + ROWS + SPAN, n)
+        view = lambda back: np.ndarray((e - a,), "<u8", room.data, far - back + a * STEP, (STEP,))  # noqa: B023, E731
+        i, j = np.searchsorted(last, a), np.searchsorted(first, b)
+        owner = np.searchsorted(first, np.arange(a, e), side="right") - 1
+        place = (np.arange(a, e) - first[owner]) * STEP
+        here, same = view(0).copy(), np.zeros(e - a, bool)
+        for lag in LAGS:
+            same |= (here == view(lag)) & (place >= lag)  # not beyond the text's start
+        same &= (here != 0) & (np.arange(a, e) != last[owner])  # nor from its padding into the next text
+        run = np.concatenate([[0], np.cumsum(same)])
+        inside = np.minimum(np.arange(a, b) + SPAN, last[owner[: b - a]] + 1) - a
+        share = (run[inside] - run[: b - a]).astype(np.float32) / SPAN
+        out[i:j] = np.maximum(out[i:j], np.maximum.reduceat(share, np.maximum(first[i:j], a) - a))
+    return out
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteNet:
@@ -117,7 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
             padded, first, blocks = chunks(*joined([texts[i] for i in pick]))
-            response = net.responses(padded)
+            response = net.responses(padded)  # a batch whole, as its argmax is needed
             best = np.stack([f + response[f : f + b - 1].argmax(0) for f, b in zip(first, blocks)])
             top = np.take_along_axis(response, best, 0) + net.bias
             hidden = np.maximum(top, 0)
