@@ -40,6 +40,8 @@ LATIN_LEAD = 0xC8
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens of at most this many bytes are merged in batches.
 WIDEST = 64
+#: Bytes of one text that are turned into arrays at once.
+LONGEST = 4 << 20
 #: Words whose ids a task remembers; beyond it only those of the present slice stay.
 REMEMBERED = 700_000
 
@@ -258,6 +260,9 @@ class Vocabulary:
         A space before a non-space always begins a pre-token, so the text
         between two such spaces is encoded alone, once for all its repeats.
         """
+        if len(offs) == 2 and len(data) > LONGEST and len(cut := cuts(data)) > 2:
+            ids = np.concatenate([self.encode_slice(data[a:b], np.array([0, b - a]), known)[0] for a, b in zip(cut, cut[1:])])
+            return ids, np.array([0, len(ids)])
         start, owner = word_starts(data, offs)
         if not len(start):
             return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
@@ -310,8 +315,9 @@ class Vocabulary:
     def decode_slice(self, ids: np.ndarray, at: np.ndarray) -> list[str | bytes]:
         """The bytes that the ids of each text stand for, as a string where they are not valid UTF-8."""
         size = np.array([len(b) for b in self.token_bytes], np.int64)
-        data, count = gather(np.frombuffer(b"".join(self.token_bytes), np.uint8), size, ids)
-        buf, ends = data.tobytes(), np.concatenate([[0], np.cumsum(count)])[at].tolist()
+        flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        buf = b"".join([gather(flat, size, ids[a : a + LONGEST // 4])[0].tobytes() for a in range(0, len(ids), LONGEST // 4)])
+        ends = np.concatenate([[0], np.cumsum(size[ids])])[at].tolist()
         out: list[str | bytes] = []
         for a, b in zip(ends, ends[1:]):
             part = buf[a:b]
@@ -352,6 +358,20 @@ def word_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, np.searchsorted(offs, start, side="right") - 1
 
 
+def cuts(data: np.ndarray) -> list[int]:
+    """Where a long text may be cut: at spaces that begin a pre-token, about LONGEST bytes apart; 0 and the end too."""
+    out, at = [0], LONGEST
+    while at < len(data) - 1:
+        part = data[at : at + 65_537]
+        found = np.flatnonzero((part[:-1] == 32) & ~STICKY[part[1:]])
+        if len(found):
+            out.append(at + int(found[0]))
+            at = out[-1] + LONGEST
+        else:
+            at += len(part) - 1
+    return [*out, len(data)]
+
+
 POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
 
 

@@ -79,6 +79,17 @@ def library_once():
     return _cache.setdefault("t", library()) if "t" not in _cache else _cache["t"]
 
 
+def test_bpe_long_texts_are_cut_where_it_does_not_show(vocab, monkeypatch):
+    from siltstone.llm import bpe
+
+    random.seed(8)
+    texts = ["".join(random.choice(ALPHABET) for _ in range(3000)), "a" * 3000, "word  two " * 300, " " * 500]
+    want = vocab.encode(texts)
+    monkeypatch.setattr(bpe, "LONGEST", 64)
+    assert [vocab.encode([t])[0] for t in texts] == want
+    assert [vocab.decode(w) for w in want] == texts
+
+
 def test_bpe_ids_that_are_no_text(vocab):
     ids = [i for i, b in enumerate(vocab.token_bytes) if b in (b"\xe2", b"\x80", b"\xf0")]
     assert vocab.decode(ids) == library().decode(ids, skip_special_tokens=False)
