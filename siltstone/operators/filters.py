@@ -78,7 +78,7 @@ class Equality(FieldFilter):
         c = F.col(self.field.name)
         there = [v for v in values if v is not None]
         found = c.isin(there) if there else F.lit(False)
-        return found | c.isNull() if None in values else F.coalesce(found, F.lit(False)) if there else c.isNull()
+        return found | c.isNull() if None in values else found  # a bare IN reaches the scan
 
 
 @register_filter("range")

@@ -172,9 +172,9 @@ def test_bad_filters(rows, request_):
 
 def test_filter_reaches_the_scan(spark, tmp_path, rows):
     rows.write.parquet(str(tmp_path / "t"))
-    df = apply_filters(spark.read.parquet(str(tmp_path / "t")), build_filters(FIELDS), {"n": {"min": 2}}).select("id")
+    df = apply_filters(spark.read.parquet(str(tmp_path / "t")), build_filters(FIELDS), {"n": {"min": 2}, "b": [False]}).select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(n,2)" in plan and "ReadSchema: struct<id:string,n:bigint>" in plan
+    assert "GreaterThanOrEqual(n,2)" in plan and "Not(EqualTo(b,true))" in plan and "ReadSchema: struct<id:string,n:bigint,b:boolean>" in plan
 
 
 def test_filter_registry_and_overrides():
