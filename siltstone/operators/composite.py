@@ -119,6 +119,16 @@ def chunk_search(chunks: DataFrame, query: Sequence[float], pages: DataFrame | N
     return scope.select("chunk_id", "page_index", "source_ranges").join(best, "chunk_id")
 
 
+def with_vectors(chunks: DataFrame, vectors: DataFrame, row: str = "row") -> DataFrame:
+    """chunks with the vector of their row; each row has one, and all are of one size."""
+    n = chunks.count()
+    seen = vectors.agg(F.count("*").alias("n"), F.count_distinct(row).alias("rows"), F.count_distinct(F.size("vector")).alias("sizes")).first()
+    out = chunks.join(vectors.select(row, "vector"), row)
+    if not (seen.n == seen.rows == n == out.count()) or seen.sizes > 1:
+        raise ValueError(f"{n} chunks but {seen.n} vectors of {seen.rows} rows in {seen.sizes} sizes")
+    return out
+
+
 def export_text(hits: DataFrame, meta: Sequence[str] = ("doctype", "lawnumber", "date")) -> DataFrame:
     """filename, metadata of the first hit, body: all of a file's hits, pages in order, as one text."""
     first = [F.min_by(c, "row_idx").alias(c) for c in meta if c in hits.columns]

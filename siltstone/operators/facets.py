@@ -9,6 +9,8 @@ from siltstone.functions.spans import RANGE, sanitize_ranges
 from siltstone.functions.text import fold, strip
 from siltstone.operators.fields import FieldDef, FieldType
 
+PAIRS = "array<struct<field:string,kind:string,value:string,key:double>>"
+
 
 def value_counts(docs: DataFrame, column: str, order: str = "ordinal") -> DataFrame:
     """value, count, ordered by folded text, then by first appearance where ``order`` is a column."""
@@ -56,15 +58,12 @@ def all_facets(docs: DataFrame, fields: dict[str, tuple[FieldDef, str]]) -> Data
         else:
             own = None
         pairs += [there] + ([own] if own is not None else [])
-    empty = F.array().cast("array<struct<field:string,kind:string,value:string,key:double>>")
-    long = docs.select(F.inline(F.concat(*[F.coalesce(p.cast(empty_type), empty) for p in pairs])))
+    none = F.array().cast(PAIRS)
+    long = docs.select(F.inline(F.concat(*[F.coalesce(p.cast(PAIRS), none) for p in pairs])))
     out = long.groupBy("field", "kind", "value").agg(F.count("*").alias("count"), F.min("key").alias("low"), F.max("key").alias("high"))
     return out.select("field", "kind", "value", "count", "low", "high")
 
 
-empty_type = "array<struct<field:string,kind:string,value:string,key:double>>"
-
-
 def options(docs: DataFrame, columns: list[str]) -> DataFrame:
     """field, value: sorted distinct trimmed non-empty values; list columns item by item."""
     kinds = dict(docs.dtypes)

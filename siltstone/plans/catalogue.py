@@ -504,7 +504,7 @@ def join_broken_lines(spark, d):
 @query()
 def extract_metadata(spark, d):
     pages = c.table(spark, d, "documents").select("doc_id", F.concat(F.lit("BO_"), (F.col("doc_id") % 90).cast("string"), F.lit(".pdf")).alias("source_file"), F.col("doc_id").alias("source_page"), "text")
-    return enriched(pages, ["document_type", "law_number", "title", "issue_number"]).drop("text")
+    return enriched(pages).drop("text")
 
 
 # -- page corpus --------------------------------------------------------------

@@ -189,6 +189,38 @@ def test_page_search_export_and_edit(pages, spark, tmp_path):
     assert summary == {"B.pdf": (2, "LOI", "Law 1"), "a.pdf": (1, "Dahir", None)}
 
 
+def test_page_handlers(spark):
+    from siltstone.plans.page_handlers import PageHandlers
+
+    raw = spark.createDataFrame(PAGES, "row_idx int, filename string, text string, page_number string, doctype string, lawnumber string, subjects string, signatures string, date string")
+    chunks = spark.createDataFrame([("c1", 0, [(0, 5)], [1.0, 0.0]), ("c2", 2, [(0, 3)], [0.9, 0.0])], "chunk_id string, page_index int, source_ranges array<struct<start:int,end:int>>, vector array<double>")
+    h = PageHandlers(raw, chunks, Stub(), root="/tmp")
+    status, body = h.search({"query": "SECOND"})
+    assert status == 200 and [r["id"] for r in body["results"]] == [1] and body["total_results"] == 1 and body["original_query"] == "SECOND"
+    assert h.search({"doctype": ["loi", "dahir"], "page": 99, "page_size": 1})[1]["page"] == 2
+    assert h.search({})[0] == 400 and h.search({"query": "  "})[0] == 400
+    found = h.search({"query": "tax law", "isSemanticSearch": True, "bookName": "b.pdf"})[1]
+    assert [(r["id"], r["semantic_score"], r["source_ranges"]) for r in found["results"]] == [(0, 1.0, [[0, 5]])] and found["valid_after_filters"] == 2
+    assert h.search({"date": {"from": "2019-01-01"}})[1]["total_results"] == 1
+    assert h.page(1)[1]["filename"] == "B.pdf" and h.page(99)[0] == 404
+    options = h.options()[1]
+    assert options["doctypes"] == ["Dahir", "LOI"] and options["date_bounds"] == {"min": "2018-08-16T10:00:00Z", "max": "2020-01-05T00:00:00Z"} and options["subjects"] == ["1. Health", "Tax"]
+    assert h.status()[1] == {"rows": 3, "documents": 2}
+    assert {d["filename"]: d["pages"] for d in h.summary()[1]["documents"]} == {"B.pdf": 2, "a.pdf": 1}
+    assert [d["filename"] for d in h.export({"query": "second"})[1]["documents"]] == ["B.pdf"] and h.export({})[0] == 400
+    assert h.update({"filename": "zz", "doctype": "x"}, "/tmp/none")[0] == 404 and h.update({"filename": "B.pdf"}, "/tmp/none")[0] == 400
+    assert h.open(0)[0] == 404 and h.file("../etc/passwd")[0] == 400 and h.file("none.pdf")[0] == 404
+
+
+def test_chunk_vectors(spark):
+    chunks = spark.createDataFrame([(0, "a"), (1, "b")], "row long, text string")
+    good = spark.createDataFrame([(1, [2.0]), (0, [1.0])], "row long, vector array<double>")
+    assert [r.vector for r in composite.with_vectors(chunks, good).orderBy("row").collect()] == [[1.0], [2.0]]
+    for bad in (good.where("row = 0"), good.unionByName(good), spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], good.schema)):
+        with pytest.raises(ValueError):
+            composite.with_vectors(chunks, bad)
+
+
 def test_chunks(spark):
     rows = [("c1", 0, [(0, 5)], [1.0, 0.0]), ("c2", 0, [(4, 9)], [0.9, 0.1]), ("c3", 1, [(0, 3)], [0.0, 1.0])]
     chunks = spark.createDataFrame(rows, "chunk_id string, page_index int, source_ranges array<struct<start:int,end:int>>, vector array<double>")
@@ -208,9 +240,11 @@ def test_extraction(spark):
     first = "الجريدة الرسمية عدد 6889 مكرر 9 يونيو 2020\nمرسوم رقم 2.20.406 صادر في 17 من شوال 1441 (9 يونيو 2020) بتحديد حالة الطوارئ الصحية"
     rows = [(first, "BO_6889-bis_Ar.pdf", 1, None), ("تتمة", "BO_6889-bis_Ar.pdf", 2, None), (None, "x.pdf", 1, "kept")]
     df = spark.createDataFrame(rows, "text string, source_file string, source_page int, document_type string")
-    a, b, c = extract.enriched(df, ["document_type", "law_number", "subjects", "issue_number", "publication_date"]).orderBy("source_file", "source_page").collect()
+    a, b, c = extract.enriched(df).orderBy("source_file", "source_page").collect()
     assert (a.document_type, a.law_number, a.subjects, a.issue_number, str(a.publication_date)) == ("decret", "2.20.406", ["public_health"], "6889-bis", "2020-06-09")
-    assert (b.law_number, b.subjects) == ("2.20.406", ["public_health"]) and c.document_type == "kept"
+    assert (b.document_type, b.law_number, b.subjects, b.issue_number, str(b.publication_date)) == ("decret", "2.20.406", ["public_health"], "6889-bis", "2020-06-09")
+    assert str(a.promulgation_date) == "2020-06-09"
+    assert c.document_type == "kept"
     assert extract.normal_form("أ١ـ ِ") == "ا1" and unicodedata.category("ِ") == "Mn"
 
 
