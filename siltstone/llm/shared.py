@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_now = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_now.isDefined():
             folder = set_now.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             folder = tempfile.mkdtemp(prefix="siltstone-")
             spark.sparkContext.setCheckpointDir(folder)

@@ -379,6 +379,32 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted((r.doc_id, r.token_ids) for r in after.collect()) == sorted((r.doc_id, vocab.encode(r.text, add_special_tokens=False).ids) for r in before.collect())
 
 
+def test_pipeline_stages_take_what_comes(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns, and an empty table."""
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, None), (None, "some words here", "en", None, 3), (3, "some words here", "en", "s", 3), (3, "some words here", "en", "s", 3), (4, "w " * 100_000, "en", "s", 1), (5, "line one is long enough\nb", "en", "t", 2)]
+    extra = {c: F.lit(c) for c in ("score", "gone", "fp", "taken", "size", "key", "n_tokens", "row", "token_ids")}
+    for df in (spark.createDataFrame(rows, shape), spark.createDataFrame([], shape)):
+        for name, stage in p.STAGES:
+            out = stage(spark, df.withColumns(extra), d)
+            found = out.collect()
+            if name == "encoding":
+                assert len(found) == df.count()
+                continue
+            assert set(out.columns) == {*df.columns, *extra} and all(r.score == "score" and r.key == "key" for r in found)
+            ids = Counter((r.doc_id, r.text) for r in found)
+            if df.count() and name == "lines":
+                assert len(found) == len(rows)
+            if df.count() and name == "near_duplicates":  # zero, "some words here", the long one, the last one
+                assert len(found) == 4 and ids[3, "some words here"] == 1 and ids[1, None] == 1
+            if df.count() and name == "mixing":
+                assert all(r.text.split() for r in found)
+        assert spark.createDataFrame([], shape).count() == 0
+
+
 def _vocabulary():
     import public_tokenizers
     from tokenizers import Tokenizer
