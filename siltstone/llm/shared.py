@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,12 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of phases whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of phases whose results are written.
+
+    Twice, as the last plan is still held by events on their way to listeners
+    when its action returns.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
