@@ -42,6 +42,8 @@ from siltstone.llm.batches import flat_text, slices, text_bytes
 from siltstone.llm.shared import release, written
 
 WINDOW, MINIMIZER = 13, 5
+#: Bytes of a window's hash: all 64 bits, so that a false match is not to be expected at any size of corpus.
+EDGE = 8
 NO_ID = 2**63 - 1
 ATTEMPTS = 4
 SPACE = np.zeros(256, bool)
@@ -115,7 +117,7 @@ def super_edges(hasher: Hasher, data: np.ndarray, offs: np.ndarray):
     words, at = hasher.words(data, offs)
     if len(words) < WINDOW:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
     short, edge = hasher.grams(words, hasher.short), hasher.grams(words, hasher.long)
     n = len(edge)
     least = short[:n].copy()
@@ -123,7 +125,7 @@ def super_edges(hasher: Hasher, data: np.ndarray, offs: np.ndarray):
         np.minimum(least, short[j : j + n], out=least)
     owner = np.repeat(np.arange(len(offs) - 1), np.diff(at))
     inside = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
-    least, edge, owner = least[inside], (edge[inside] >> np.uint64(32)).astype(np.uint32), owner[inside]
+    least, edge, owner = least[inside], edge[inside], owner[inside]
     new = np.ones(len(inside), bool)
     new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
@@ -136,8 +138,8 @@ def _occurrences(docs: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 text, start, key, edge, at = super_edges(hasher, *flat_text(part.column("text")))
-                raw = pa.py_buffer(edge.astype("<u4").tobytes())
-                edges = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((at * 4).astype(np.int32)), raw])
+                raw = pa.py_buffer(edge.astype("<u8").tobytes())
+                edges = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((at * EDGE).astype(np.int32)), raw])
                 pick = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), part.column("doc").take(pick), part.column("row").take(pick), pa.array(start, pa.int32()), edges], names=["key", "doc", "row", "start", "edges"]
@@ -155,7 +157,7 @@ class FirstSeen:
 
     def __init__(self):
         none = np.zeros(0, np.int64)
-        self.kept = (none, np.zeros(0, np.uint32), none, none, none)  # key, edge, doc, row, place
+        self.kept = (none, np.zeros(0, np.uint64), none, none, none)  # key, edge, doc, row, place
 
     def take(self, key, doc, row, start, edge, at):
         count = np.diff(at)
@@ -219,7 +221,7 @@ def _pieces(occurrences: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(a, AT_ONCE)
                 raw, at = flat_text(_as_text(part.column("edges")))
-                made = seen.take(*_longs(part, ("key", "doc", "row", "start")), np.frombuffer(raw.tobytes(), "<u4"), at // 4)
+                made = seen.take(*_longs(part, ("key", "doc", "row", "start")), np.frombuffer(raw.tobytes(), "<u8"), at // EDGE)
                 if made is not None:
                     yield _batch(made)
 
@@ -246,8 +248,8 @@ def _hot_pieces(occurrences: DataFrame) -> DataFrame:
     """
     same = ["key", "edges"]
     distinct = written(occurrences.groupBy(*same).agg(F.min(F.struct("doc", "row", "start")).alias("first")), "hot")
-    # n: place in the super-edge; four bytes an edge
-    places = F.posexplode(F.transform(F.sequence(F.lit(0), F.shiftright(F.length("edges"), 2) - 1), lambda i: F.substring("edges", i * 4 + 1, F.lit(4)))).alias("n", "edge")
+    # n: place in the super-edge
+    places = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("edges") / EDGE).cast("int") - 1), lambda i: F.substring("edges", i * EDGE + 1, F.lit(EDGE)))).alias("n", "edge")
     each = distinct.select(*same, "first", places)
     at = F.struct(F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), (F.col("first.start") + F.col("n")).alias("start"))
     source = each.groupBy("key", "edge").agg(F.min(at).alias("source"))

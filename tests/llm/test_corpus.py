@@ -317,6 +317,25 @@ def test_repeats_survive_bad_hashes(spark, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == repeats_by_hand(rows)
 
 
+@pytest.mark.parametrize("hot_rows", [500_000, 2])
+def test_windows_are_told_apart_by_all_bits(spark, monkeypatch, hot_rows):
+    """Windows whose hashes agree in the upper 32 bits are no match, on either way, in the first attempt."""
+    real = substrings.Hasher
+
+    class Half(real):
+        @staticmethod
+        def grams(words, factors):
+            h = real.grams(words, factors)
+            return h | np.uint64(0xFFFFFFFF00000000) if len(factors) == substrings.WINDOW else h
+
+    monkeypatch.setattr(substrings, "Hasher", Half)
+    monkeypatch.setattr(substrings, "ATTEMPTS", 1)
+    monkeypatch.setattr(substrings, "SAMPLE", 1)
+    rows = substring_rows()
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot_rows=hot_rows)
+    assert sorted(map(tuple, out.collect()), key=str) == repeats_by_hand(rows)
+
+
 def test_first_seen_over_batches():
     """A key whose rows come in many batches gives the same pieces as in one."""
     hasher = substrings.Hasher(0)
