@@ -206,20 +206,21 @@ def padded_payload(text: bytes) -> bytes:
     return text.ljust(max(1, -(-len(text) // ROW)) * ROW, b"\0")
 
 
-def text_media(docs: DataFrame, text_col: str = "text", with_media: bool = True) -> DataFrame:
+def text_media(docs: DataFrame, text_col: str = "text", with_media: bool = True, side: int = 32) -> DataFrame:
     """Each text as a lossless grey image of ROW samples a line, and what is read back from the stored form.
 
     New columns: n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature (difference hash), and media if with_media.
+    media_bytes, media_sha256, feature (difference hash), tile_sha256 (of the NPY
+    tile of side by side samples), and media if with_media.
     """
-    kinds = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    kinds = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("tile_sha256", T.StringType())]
     kinds += [("media", T.BinaryType())] * with_media
 
     def one(text: bytes):
         media = encode_netpbm(np.frombuffer(padded_payload(text), np.uint8).reshape(-1, ROW))
-        image = decode_netpbm(media)
+        image = decode(media)
         payload = image.tobytes()
-        row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image))
+        row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image, side)).hexdigest())
         return (*row, media) if with_media else row
 
     def make():

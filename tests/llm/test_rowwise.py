@@ -180,6 +180,13 @@ def test_texts_as_media(edge, empty):
     assert media.text_media(empty).count() == 0
 
 
+def test_texts_as_media_have_the_tile_of_media_columns(edge):
+    rows = media.text_media(edge)
+    tiles = media.media_columns(rows).collect()
+    assert len(tiles) == len(EDGE) and all(r.media_error is None for r in tiles)
+    assert all(r.tile_sha256 == hashlib.sha256(r.tile).hexdigest() and np.load(io.BytesIO(r.tile)).shape == (32, 32) for r in tiles)
+
+
 # -- language and quality -------------------------------------------------------
 
 
