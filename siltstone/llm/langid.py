@@ -1,8 +1,8 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
-All languages share one filter: a slot holds one bit a language, and the AND
-of the slots that an n-gram hashes to is the set of languages that have it, in
-one look. Per language, the hits in a text are counted (a popcount over the
+Up to 64 languages share one filter (more have one for each 64): a slot holds
+one bit a language, and the AND of the slots that an n-gram hashes to is the
+set of languages that have it, in one look. Per language, the hits in a text are counted (a popcount over the
 text's masks) and corrected for false positives: with n looks, c hits and a
 false-positive rate f (the share of slots with the language's bit, to the
 power of the number of hashes), (c - n*f) / (1 - f) hits are expected to be
@@ -26,6 +26,8 @@ from siltstone.llm.batches import append_columns, flat_text
 
 GRAM = 4
 HASHES = (0x9E3779B1, 0x85EBCA77)
+#: Languages of one filter, and the most that are learned: a model is 4 MB for each 64.
+WORD, MOST_LANGS = 64, 1024
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 IS_LETTER = np.zeros(256, bool)
@@ -106,6 +108,17 @@ class LanguageFilter:
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, score, 0.0)
 
 
+class Filters(LanguageFilter):
+    """Any number of languages: a filter for each 64 of them, one word of a slot each."""
+
+    def __init__(self, langs: list[str], members: list[np.ndarray], bits: int, default: int):
+        self.langs, self.bits, self.default = langs, bits, default
+        self.words = [LanguageFilter(langs[a : a + WORD], members[a : a + WORD], bits, 0) for a in range(0, len(langs), WORD)]
+
+    def true_hits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        return np.hstack([w.true_hits(data, offs) for w in self.words])
+
+
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     run = np.concatenate([[0], np.cumsum(IS_LETTER[data])])
     found = run[offs[1:]] > run[offs[:-1]]
@@ -124,7 +137,8 @@ def build(texts: dict[str, list[bytes]], default: str | None, most_grams: int =
         gram, count = np.unique(grams(np.frombuffer(b"".join(parts), np.uint8), offs)[0], return_counts=True)
         order = np.lexsort((gram, -count))[:most_grams]
         members.append(gram[order])
-    return LanguageFilter(langs, members, bits, langs.index(default) if default in langs else 0)
+    kind = LanguageFilter if len(langs) <= WORD else Filters
+    return kind(langs, members, bits, langs.index(default) if default in langs else 0)
 
 
 def fit(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_out: int = 2, **how) -> LanguageFilter:
@@ -133,13 +147,15 @@ def fit(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_out: int =
     Only text and non-null lang of rows whose crc32(doc_id as text) mod
     ``modulus`` isn't ``held_out`` are used. Two passes: one over lang and
     doc_id alone finds the hash below which each language has that many rows,
-    the next fetches their texts.
+    the next fetches their texts. More than ``MOST_LANGS`` languages are an error.
     """
     from pyspark.sql import Window
 
     open_rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % modulus != held_out))
     key = F.xxhash64("doc_id")
-    counts = {r.lang: r["count"] for r in open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    counts = {r.lang: r["count"] for r in open_rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return LanguageFilter([], [], 8, 0)
     # keep about twice the wanted share of the hash range, then the first per_lang of it

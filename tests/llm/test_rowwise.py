@@ -206,6 +206,19 @@ def test_bloom_filter_has_no_false_negatives_and_knows_its_rate():
         assert abs(((f.masks(other) >> i) & 1).mean() - f.false_rate[i]) < 0.01
 
 
+def test_more_languages_than_a_word_has_bits(spark, monkeypatch):
+    """Each of 70 languages is learned and found; too many are an error."""
+    rng = np.random.default_rng(8)
+    words = {f"l{k:02}": ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(40)] for k in range(70)}
+    rows = [(40 * k + i, " ".join(rng.choice(words[lang], 30)), lang) for k, lang in enumerate(words) for i in range(12 if k < 64 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.language_of(docs, langid.fit(docs)).collect()
+    assert len(out) == len(rows) and all(r.lang_pred == r.lang for r in out)
+    monkeypatch.setattr(langid, "MOST_LANGS", 69)
+    with pytest.raises(ValueError):
+        langid.fit(docs)
+
+
 def test_grams_stay_inside_texts():
     gram, at = langid.grams(np.frombuffer("ABCDÉxyz12".encode(), np.uint8), np.array([0, 3, 4, 11]))
     text = "abcdéxyz12".encode()
