@@ -14,7 +14,8 @@ all blocks are merged by distance, then id. Equal codes are one entry with the
 smallest ids that an answer can need, so copies are not verified one by one.
 
 Edge cases: null, empty or wrong-sized embeddings have no code; they are
-neither found nor asked for. A query never finds its own row; other rows with
+neither found nor asked for. A table whose vectors all have another size is an
+error. A query never finds its own row; other rows with
 its id are found like any. Fewer than k other rows: all of them. Ties go to
 the smaller id. Rows with a null id are ignored. Zero counts as positive, NaN
 as negative.
@@ -37,11 +38,18 @@ CODES, QUERIES = 1 << 16, 1 << 11
 
 
 def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id and code: bit i is 1 where component i of a 64-dimensional vector is at least zero."""
+    """id and code: bit i is 1 where component i of a 64-dimensional vector is at least zero.
+
+    Reads the sizes once at the call: ValueError if there are vectors and none has 64 dimensions.
+    """
+    size = F.size(vector_col)
+    fit, largest = vectors.agg(F.max(size == BITS), F.max(size)).first()
+    if not fit and (largest or 0) > 0:
+        raise ValueError(f"no vector of {vector_col} has {BITS} dimensions; the largest has {largest}")
     # NaN is the largest number to Spark
     bits = F.transform(F.col(vector_col), lambda x, i: F.when((x >= 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")))
     code = F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    whole = (F.size(vector_col) == BITS) & F.col(id_col).isNotNull()
+    whole = (size == BITS) & F.col(id_col).isNotNull()
     return vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
 
 

@@ -83,6 +83,13 @@ def test_binary_codes(spark):
     assert {r.id: r.code for r in binary_codes(df).collect()} == {1: -1, 2: -(2**63), 5: 0}
 
 
+def test_vectors_of_another_size_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0] * 128), (2, None), (3, [])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="128"):
+        binary_codes(df)
+    assert binary_codes(df.where("vec_id > 1")).count() == 0 and binary_codes(df.where("false")).count() == 0
+
+
 # -- lines --------------------------------------------------------------------
 
 
