@@ -64,7 +64,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed-width pieces of all documents, with the vector of their number modulo the number of vectors."""
+    """Fixed-width pieces of all documents, with the vector of their number modulo 500, as the SQL has it: vectors from 500 on aren't used."""
     pieces = table(spark, d, "documents").select(F.col("doc_id").alias("page_index"), F.posexplode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(CHUNK))).alias("n", "start"), F.length("text").alias("len"))
     number = F.pmod(F.col("page_index") * 31 + F.col("n"), F.lit(500)).cast("long")
     pieces = pieces.select(F.concat_ws("-", "page_index", "n").alias("chunk_id"), "page_index", F.array(F.struct(F.col("start").cast("int").alias("start"), F.least(F.col("start") + CHUNK, F.col("len")).cast("int").alias("end"))).alias("source_ranges"), number.alias("vec_id"))
