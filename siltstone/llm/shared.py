@@ -8,13 +8,16 @@ the setting is absent (tests on one machine) a folder of our own is set.
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then removes a write's shuffle files as soon as the write has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         set_now = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_now.isDefined():
             folder = set_now.get()
-        elif not spark.sparkContext.master.startswith("local"):
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             folder = tempfile.mkdtemp(prefix="siltstone-")
@@ -45,21 +48,25 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df, computed once, stored as Parquet in the shared folder and read back."""
+    """df, computed once, stored as Parquet in the shared folder and read back; its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of phases whose results are written.
 
-    Twice, as the last plan is still held by events on their way to listeners
-    when its action returns.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+def erase(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, _paths.pop(t))

@@ -311,7 +311,7 @@ def test_repeats_of_hot_passages(spark, monkeypatch, most):
 
 
 def test_repeats_survive_bad_hashes(spark, monkeypatch):
-    """Hashes that call everything equal are found out, and the job is done again."""
+    """Hashes that call everything equal are found out, and words decide."""
     real = substrings._occurrences
 
     def broken(docs, seed):
@@ -324,9 +324,62 @@ def test_repeats_survive_bad_hashes(spark, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == repeats_by_hand(rows)
 
 
+@pytest.mark.parametrize("seed, bits, hot_rows", [(0, 3, 500_000), (1, 8, 500_000), (2, 8, 2)])
+def test_repeats_when_every_seed_clashes(spark, monkeypatch, seed, bits, hot_rows):
+    """Hashes of a few bits clash under any seed; the answer is that of the words."""
+    real = substrings.Hasher
+
+    class Narrow(real):
+        @staticmethod
+        def grams(words, factors):
+            return real.grams(words, factors) & np.uint64((1 << bits) - 1)
+
+    calls = []
+    mended = substrings._mended
+    monkeypatch.setattr(substrings, "Hasher", Narrow)
+    monkeypatch.setattr(substrings, "SAMPLE", 1)
+    monkeypatch.setattr(substrings, "_mended", lambda *a: calls.append(1) or mended(*a))
+    rows = substring_rows()
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot_rows=hot_rows, seed=seed)
+    assert sorted(map(tuple, out.collect()), key=str) == repeats_by_hand(rows) and calls == [1]
+
+
+def test_repeats_of_one_clash_leave_the_other_documents(spark, monkeypatch):
+    """Two windows that are called equal and aren't: only their documents are done again."""
+    real = substrings.Hasher
+    one, two = ([f"{c}{i}" for i in range(13)] for c in "ab")
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, "x " + " ".join(two)), (4, " ".join(one) + " y"), (5, "alone " * 5)]
+    data = " ".join(one + two).encode()
+    alike = substrings.super_edges(real(0), np.frombuffer(data, np.uint8), np.array([0, len(data) // 2, len(data)]))[3]
+    assert len(alike) == 2
+
+    class Clash(real):
+        @staticmethod
+        def grams(words, factors):
+            h = real.grams(words, factors)
+            return np.where(h == alike[1], alike[0], h) if len(factors) == substrings.WINDOW else h & np.uint64(0)
+
+    again = []
+    applied = substrings._applied
+    monkeypatch.setattr(substrings, "Hasher", Clash)
+    monkeypatch.setattr(substrings, "_applied", lambda docs, roles: again.append(docs.count()) or applied(docs, roles))
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == repeats_by_hand(rows)
+    assert again[0] == 5 and again[1] < 5
+
+
+def test_repeats_of_a_source_with_many_paths(spark, monkeypatch):
+    """A source whose paths are dealt over several copies of its text has one row."""
+    monkeypatch.setattr(substrings, "MOST_ROLES", 4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(words))] + [(i, " ".join(words[i * 3 : i * 3 + 13 + i % 7])) for i in range(1, 60)] + [(None, " ".join(words))]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == repeats_by_hand(rows)
+
+
 @pytest.mark.parametrize("hot_rows", [500_000, 2])
 def test_windows_are_told_apart_by_all_bits(spark, monkeypatch, hot_rows):
-    """Windows whose hashes agree in the upper 32 bits are no match, on either way, in the first attempt."""
+    """Windows whose hashes agree in the upper 32 bits are no match, on either way, without a look at the words."""
     real = substrings.Hasher
 
     class Half(real):
@@ -336,7 +389,7 @@ def test_windows_are_told_apart_by_all_bits(spark, monkeypatch, hot_rows):
             return h | np.uint64(0xFFFFFFFF00000000) if len(factors) == substrings.WINDOW else h
 
     monkeypatch.setattr(substrings, "Hasher", Half)
-    monkeypatch.setattr(substrings, "ATTEMPTS", 1)
+    monkeypatch.setattr(substrings, "_mended", lambda *a: pytest.fail("a false match"))
     monkeypatch.setattr(substrings, "SAMPLE", 1)
     rows = substring_rows()
     out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot_rows=hot_rows)
