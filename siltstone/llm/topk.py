@@ -1,40 +1,42 @@
-"""Exact k nearest binary codes by incremental multi-index hashing.
-
-A code of 64 bits is cut into four segments of 16, each with a table from the
-segment's value to the codes that have it. A query looks up values at radius
-0, 1, 2, ... of its own segments, one segment after another, and verifies the
-full Hamming distance of what it finds. Once segments 0..j were searched to
-radius r and the others to r-1, every code within 4*r + j bits has been seen
-(a code farther than that in each segment would differ more), so the search
-ends as soon as the k-th best distance is at most 4*r + j. The answer is exact.
-
-Codes and queries are dealt in blocks: every block of codes meets every block
-of queries in one task, which builds the tables once, and each query's best of
-all blocks are merged by distance, then id. Equal codes are one entry with the
-smallest ids that an answer can need, so copies are not verified one by one.
+"""Exact k nearest binary codes by incremental multi-index hashing, as joins of growing radius.
+
+A code of 64 bits is cut into segments, about as wide as the number of
+distinct codes has bits, and a table of postings leads from (segment, value)
+to the codes that have it. In round r each query still open looks up the
+values that differ from its own in r bits, in every segment, and the full
+Hamming distance of what it finds is verified. After it every code within
+``segments * (r + 1) - 1`` bits has been seen (a farther one alone can differ
+by more than r in each segment), so a query is closed as soon as its k-th best
+distance is no more than that. The answer is exact.
+
+A pair shows up in one segment and round only: where its difference is the
+least, the first such segment. Queries of one code are searched for once, and
+codes that many rows have are one entry with the ids that an answer can need,
+so copies cost nothing. A round's k-th distance comes from counts by distance,
+which are summed before the shuffle. Of the rounds only row counts reach the
+driver.
 
 Edge cases: null, empty or wrong-sized embeddings have no code; they are
 neither found nor asked for. A table whose vectors all have another size is an
-error. A query never finds its own row; other rows with
-its id are found like any. Fewer than k other rows: all of them. Ties go to
-the smaller id. Rows with a null id are ignored. Zero counts as positive, NaN
-as negative.
+error. A query never finds rows with its own id. A query that is asked
+repeatedly is answered once; an id with several codes has an answer for each.
+Rows that repeat an id are rows like others. Fewer than k other rows: all of
+them. Ties go to the smaller id. Rows with a null id are ignored. Zero counts
+as positive, NaN as negative.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
+from math import log2
+from operator import and_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import written
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
-CODES, QUERIES = 1 << 16, 1 << 11
+BITS = 64
 
 
 def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -53,84 +55,82 @@ def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
 
 
-class MultiIndex:
-    """Segment tables over distinct codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order, self.start = [], []
-        for s in range(SEGMENTS):
-            value = self.segment(codes, s)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << WIDTH))]))
-        self.flips: list[np.ndarray] = []
-
-    @staticmethod
-    def segment(codes, s: int):
-        return ((codes >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
-
-    def at_radius(self, r: int) -> np.ndarray:
-        while len(self.flips) <= r:
-            self.flips.append(np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), len(self.flips))], np.int64))
-        return self.flips[r]
-
-    def search(self, query: np.uint64, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, distances) that contain the k nearest rows; rows[i] is the number of rows of entry i."""
-        best_at, best_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        parts = [int(self.segment(query, s)) for s in range(SEGMENTS)]
-        for r in range(WIDTH + 1):
-            for s in range(SEGMENTS):
-                value = self.at_radius(r) ^ parts[s]
-                a, n = self.start[s][value], self.start[s][value + 1] - self.start[s][value]
-                found = self.order[s][np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                d = np.bitwise_count(self.codes[found] ^ query).astype(np.int64)
-                best_at, first = np.unique(np.concatenate([best_at, found]), return_index=True)
-                best_d = np.concatenate([best_d, d])[first]
-                order = np.argsort(best_d, kind="stable")
-                enough = np.cumsum(rows[best_at[order]])
-                at = int(np.searchsorted(enough, k))
-                if at < len(order):
-                    far = best_d[order[at]]
-                    near = best_d <= far
-                    best_at, best_d = best_at[near], best_d[near]
-                    if far <= SEGMENTS * r + s:
-                        return best_at, best_d
-        return best_at, best_d
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, codes_at_once: int = CODES, queries_at_once: int = QUERIES) -> DataFrame:
+def segments_for(codes: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment, for a number of distinct codes."""
+    n = min(max(round(BITS / max(2.0, log2(max(codes, 2)))), 2), 32)
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _segment(code, first: int, width: int):
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _values(code, cut: list[tuple[int, int]]):
+    return F.posexplode(F.array(*[_segment(code, *c) for c in cut])).alias("segment", "value")
+
+
+def _probes(live: DataFrame, cut: list[tuple[int, int]], radius: int) -> DataFrame:
+    """q, segment, value: what the queries look up at a radius; each set of flipped bits comes once, in rising order."""
+    out = live.select("q", _values(F.col("q"), cut)).withColumn("last", F.lit(-1))
+    width = F.element_at(F.array(*[F.lit(w) for _, w in cut]), F.col("segment") + 1)
+    for _ in range(radius):
+        out = out.where(F.col("last") + 1 < width).withColumn("last", F.explode(F.sequence(F.col("last") + 1, width - 1)))
+        out = out.withColumn("value", F.expr("value ^ shiftleft(1L, last)"))
+    return out.drop("last")
+
+
+def _found(live: DataFrame, postings: DataFrame, cut: list[tuple[int, int]], radius: int) -> DataFrame:
+    """q, code, rows, distance of the pairs that show up first at this radius."""
+    pairs = _probes(live, cut, radius).join(postings, ["segment", "value"])
+    apart = F.col("q").bitwiseXOR(F.col("code"))
+    first = []
+    for n, c in enumerate(cut):
+        bits = F.bit_count(_segment(apart, *c))
+        first.append(F.when(F.col("segment") > n, bits > radius).otherwise(bits >= radius))
+    return pairs.where(reduce(and_, first)).select("q", "code", "rows", F.bit_count(apart).alias("distance"))
+
+
+def _nearest(found: DataFrame, live: DataFrame) -> DataFrame:
+    """found as far as each query's needed number of rows reaches, with that distance (kth; null if there are too few)."""
+    counts = found.groupBy("q", "distance").agg(F.sum("rows").alias("rows")).join(live, "q")
+    upto = F.sum("rows").over(Window.partitionBy("q").orderBy("distance"))  # 65 distances at most
+    kth = counts.withColumn("upto", upto).where(F.col("upto") >= F.col("need")).groupBy("q").agg(F.min("distance").alias("kth"))
+    return found.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth")))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, neighbor_id, distance. vectors and queries: id and code, as from binary_codes."""
-    rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    # k + 1 rows of a code are the most that an answer can need: k, and the query itself;
-    # Spark applies this limit before the shuffle too, so copies of one code don't meet in a task
-    held = vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1)
-    entries = written(held.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    asked = written(queries.select("id", "code"), "asked")
-    n_code = max(1, -(-entries.count() // codes_at_once))
-    n_query = max(1, -(-asked.count() // queries_at_once))
-    left = entries.select(F.pmod(F.xxhash64("code"), F.lit(n_code)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("b"), "code", "ids")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_code - 1))).alias("a"), F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int").alias("b"), "id", "code")
-
-    def block(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(codes) and len(asked):
-            index = MultiIndex(codes["code"].to_numpy(np.int64).view(np.uint64))
-            ids = codes["ids"].tolist()
-            rows = np.fromiter(map(len, ids), np.int64, len(ids))
-            done: dict[int, list[tuple[int, int]]] = {}
-            for q, code in zip(asked["id"].tolist(), asked["code"].to_numpy(np.int64).view(np.uint64)):
-                if int(code) not in done:
-                    at, d = index.search(code, rows, k + 1)
-                    done[int(code)] = sorted((int(x), int(i)) for e, x in zip(at, d) for i in ids[e])
-                near = list(done[int(code)])
-                if (0, q) in near:
-                    near.remove((0, q))
-                out += [(q, i, d) for d, i in near[:k]]
-        return pd.DataFrame(out, columns=["query_id", "neighbor_id", "distance"]).astype({"query_id": "int64", "neighbor_id": "int64", "distance": "int32"})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(block, "query_id long, neighbor_id long, distance int")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    each = vectors.groupBy("code", "id").agg(F.count("*").alias("n"))
+    totals = each.groupBy("code").agg(F.sum("n").alias("rows"))
+    # k + 1 ids of a code are the most that an answer can need: k, and the query's own; Spark applies
+    # this limit before the shuffle too, so copies of one code don't meet in a task
+    held = each.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("place") <= k + 1)
+    held = held.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n")))).alias("ids"))
+    entries = written(held.join(totals, "code"), "entries")
+    asked = written(queries.select("id", F.col("code").alias("q")).distinct(), "asked")
+    # as many rows more than k as the asking id may have itself
+    own = each.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("own"))
+    live = written(asked.join(own, "id", "left").groupBy("q").agg((F.max(F.coalesce("own", F.lit(0))) + k).alias("need")), "queries")
+    cut = segments_for(entries.count())
+    postings = entries.select("code", "rows", _values(F.col("code"), cut))
+    open_, closed = None, []
+    for radius in range(max(w for _, w in cut) + 1):
+        new = _found(live, postings, cut, radius)
+        near = written(_nearest(new if open_ is None else open_.drop("kth").unionByName(new), live), f"radius-{radius}")
+        sure = F.coalesce(F.col("kth") < len(cut) * (radius + 1), F.lit(False))
+        closed.append(near.where(sure))
+        open_ = near.where(~sure)
+        live = live.join(closed[-1].select("q").distinct(), "q", "left_anti")
+        if live.isEmpty():
+            break
+    else:
+        closed.append(open_)  # all there is has been seen
+    best = reduce(DataFrame.unionByName, closed).select("q", "code", "distance").join(asked, "q").withColumnRenamed("id", "query_id")
+    rows = best.join(entries.select("code", "ids"), "code").select("query_id", "q", "distance", F.inline("ids")).where("id <> query_id")
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    order = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("distance", "id"))
+    return rows.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbor_id"), F.col("distance").cast("int").alias("distance"))
 
 
 ORACLE = """
