@@ -23,16 +23,30 @@ is split into blocks, and each pair of blocks is a group of its own.
 Components of the edges are found by alternating large-star and small-star
 steps, each written to the shared folder.
 
+`similar_texts` links by similarity instead: distinct texts whose sets of
+shingles have a Jaccard similarity of 0.8 or more. That is some 10 of 64 bits,
+and up to 24 in rare cases, too wide a radius for dealing by agreeing parts.
+So texts meet where two minimum shingle hashes agree, in one of ``WAYS`` ways
+(a pair of similarity 0.8 meets with probability 0.998), the same index prunes
+each group by the first word of a fingerprint of ``WIDE`` words, and all its
+words measure the pairs that are left. Of these a task keeps the minimum
+spanning forest, and every link of it that the wide fingerprint doesn't settle
+by itself is verified by the exact similarity of the two sets. A link can be
+missed only if texts don't meet, or if the nearest fingerprints between two
+clusters belong to a pair below the bound and another pair is above it.
+
 Edge cases: null, empty and blank texts have fingerprint zero, and it is
 linked like any other; fewer than four words are one shingle; texts are read
 whole; equal fingerprints are one node, so copies cost no pairs; rows that
 repeat a doc_id each get a row; a null doc_id is a member but never the
 smallest, unless all are null; extra columns pass through, but those named
-fingerprint and component_id are replaced.
+fingerprint and component_id are replaced. `similar_texts` has one class for
+all texts without words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -42,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.batches import append_columns, text_bytes
+from siltstone.llm.batches import append_columns, slices, text_bytes
 from siltstone.llm.components import components
 from siltstone.llm.shared import written
 
@@ -55,19 +69,30 @@ LEVELS = (48, 40, 32, 24, 16, 8, 0)
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes) -> int:
-    """Of UTF-8 text; A-Z is lower-cased, words are runs without ASCII white space."""
+def shingles(text: bytes, size: int = SHINGLE) -> tuple[np.ndarray, bytes]:
+    """(hash of each shingle of UTF-8 text, its words); A-Z is lower-cased, words are runs without ASCII white space."""
     words = text.lower().split()
-    if not words:
-        return 0
     flat = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.cumsum(size + 1) - size - 1
-    n = max(1, len(words) - SHINGLE + 1)
+    if not words:
+        return np.zeros(0, np.uint64), flat
+    long = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(long + 1) - long - 1
+    n = max(1, len(words) - size + 1)
     begin = start[:n].tolist()
-    end = (start + size)[-n:].tolist()
+    end = (start + long)[-n:].tolist()
     one = xxhash.xxh64_intdigest
-    h = np.array([one(flat[a:b], SEED) for a, b in zip(begin, end)], np.uint64)
+    return np.array([one(flat[a:b], SEED) for a, b in zip(begin, end)], np.uint64), flat
+
+
+def fingerprint(text: bytes) -> int:
+    return majority(shingles(text)[0])
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
+    n = len(h)
+    if not n:
+        return 0
     eight = h.astype(">u8").view(np.uint8).reshape(n, 8)
     if n < 512:
         count = np.unpackbits(eight, axis=1).sum(0)
@@ -107,51 +132,47 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over fingerprints sorted by (group, Gray rank); a group's fingerprints are distinct."""
+    """Hierarchy over fingerprints sorted by (group, Gray rank); equal ones in a group are leaves of one node.
+
+    A node holds the bits that its level adds to those of the nodes above.
+    """
 
     def __init__(self, group: np.ndarray, fp: np.ndarray):
-        self.fp, self.levels = fp, []
+        self.levels = []
         roots = runs(group)
-        starts = roots
-        for shift in LEVELS:
-            below = runs(group, fp >> np.uint64(shift))
+        starts, above = roots, 64
+        for shift in (*LEVELS, None):
+            below = np.arange(len(fp)) if shift is None else runs(group, fp >> np.uint64(shift))
             first = np.searchsorted(below, starts)
-            self.levels.append((np.uint64(shift), np.append(first, len(below)), fp[below] >> np.uint64(shift)))
-            starts = below
+            added = np.zeros(len(below), np.uint64) if shift is None else (fp[below] >> np.uint64(shift)) & np.uint64((1 << (above - shift)) - 1)
+            self.levels.append((np.append(first, len(below)), added))
+            starts, above = below, shift
         self.roots = len(roots)
 
     def pairs(self, distance: int):
         """Yields (i, j) arrays of the fingerprints at most ``distance`` bits apart, i < j, same group."""
-        all_roots = np.arange(self.roots)
-        stack = [(0, all_roots[a : a + FRONTIER], all_roots[a : a + FRONTIER]) for a in range(0, self.roots, FRONTIER)]
+        roots = [np.arange(self.roots)[a : a + FRONTIER] for a in range(0, self.roots, FRONTIER)]
+        stack = [(0, r, r, np.zeros(len(r), np.uint8)) for r in roots]
         while stack:
-            level, a, b = stack.pop()
+            level, a, b, apart = stack.pop()
             if level == len(self.levels):
                 keep = a < b
                 yield a[keep], b[keep]
                 continue
-            _, first, _ = self.levels[level]
+            first, added = self.levels[level]
             ways = (first[a + 1] - first[a]) * (first[b + 1] - first[b])
             total = int(ways.sum())
             if total > FRONTIER and len(a) > 1:  # depth first: the frontier stays small
                 half = len(a) // 2
-                stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
+                stack += [(level, a[:half], b[:half], apart[:half]), (level, a[half:], b[half:], apart[half:])]
                 continue
-            stack.append((level + 1, *self._expand(level, a, b, ways, distance)))
-
-    def _expand(self, level, a, b, ways, distance):
-        _, first, pattern = self.levels[level]
-        found_a, found_b = [], []
-        total = int(ways.sum())
-        which = np.repeat(np.arange(len(a)), ways)
-        at = np.arange(total) - np.repeat(np.cumsum(ways) - ways, ways)
-        wide = (first[b + 1] - first[b])[which]
-        x, y = first[a][which] + at // wide, first[b][which] + at % wide
-        keep = x <= y
-        keep[keep] = np.bitwise_count(pattern[x[keep]] ^ pattern[y[keep]]) <= distance
-        found_a.append(x[keep])
-        found_b.append(y[keep])
-        return np.concatenate(found_a), np.concatenate(found_b)
+            which = np.repeat(np.arange(len(a)), ways)
+            at = np.arange(total) - np.repeat(np.cumsum(ways) - ways, ways)
+            wide = (first[b + 1] - first[b])[which]
+            x, y = first[a][which] + at // wide, first[b][which] + at % wide
+            apart = apart[which] + np.bitwise_count(added[x] ^ added[y])
+            keep = (x <= y) & (apart <= distance)
+            stack.append((level + 1, x[keep], y[keep], apart[keep]))
 
 
 def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -201,19 +222,19 @@ def masks(parts: int, distance: int) -> list[int]:
     return [int(np.uint64(sum(c)).astype(np.int64)) for c in combinations(part, parts - distance)]
 
 
-def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """u, v: edges that connect all of the distinct fingerprints in ``fps`` (column fp) that are linked."""
-    count = fps.count()
-    ways = masks(plan(count, distance), distance)
-    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in ways])).alias("way", "bits"))
+def in_blocks(dealt: DataFrame, block: int, by: str) -> DataFrame:
+    """dealt (way, bits and more) with a and b: a group of over ``block`` rows is cut into blocks, and each pair of blocks is a group."""
     large = dealt.groupBy("way", "bits").count().where(F.col("count") > block).select("way", "bits", F.ceil(F.col("count") / (block // 2)).cast("int").alias("blocks"))
     dealt = dealt.join(large, ["way", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("way", "bits", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    keys = ["way", "bits", "a", "b"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(by), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("blocks", "own", "other")
+
+
+KEYS = ["way", "bits", "a", "b"]
+
+
+def by_group(dealt: DataFrame, make: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """make(rows of whole groups) over all rows, some 65,000 at a time."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -224,32 +245,39 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
             if rows < 1 << 16:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
-            cut = _last_group(whole, keys)
+            cut = int(runs(*_columns(whole, KEYS))[-1])
             if cut:
-                yield _edges(whole.slice(0, cut), keys, distance)
+                yield make(whole.slice(0, cut))
             held = whole.slice(cut).to_batches()
             rows = whole.num_rows - cut
         if held:
-            yield _edges(pa.Table.from_batches(held), keys, distance)
+            yield make(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, schema)
 
 
 def _columns(rows: pa.Table, keys: list[str]) -> list[np.ndarray]:
     return [rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
 
 
-def _last_group(rows: pa.Table, keys: list[str]) -> int:
-    return int(runs(*_columns(rows, keys))[-1])
+def _groups(rows: pa.Table) -> np.ndarray:
+    """The number of each row's group."""
+    group = np.zeros(rows.num_rows, np.int64)
+    group[runs(*_columns(rows, KEYS))[1:]] = 1
+    return np.cumsum(group)
 
 
-def _edges(rows: pa.Table, keys: list[str], distance: int) -> pa.RecordBatch:
-    begin = runs(*_columns(rows, keys))
-    group = np.zeros(rows.num_rows, np.int64)
-    group[begin[1:]] = 1
-    (fp,) = _columns(rows, ["fp"])
-    u, v = group_edges(np.cumsum(group), fp.astype(np.int64).view(np.uint64), distance)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
+    """u, v: edges that connect all of the distinct fingerprints in ``fps`` (column fp) that are linked."""
+    ways = masks(plan(fps.count(), distance), distance)
+    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in ways])).alias("way", "bits"))
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        (fp,) = _columns(rows, ["fp"])
+        u, v = group_edges(_groups(rows), fp.astype(np.int64).view(np.uint64), distance)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    return by_group(in_blocks(dealt, block, "fp"), edges, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -265,9 +293,148 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     return marked.join(classes, "fp").select("doc_id", "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class")
 
 
-def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the smallest id (then text hash) of each class of near-duplicates; all columns stay."""
-    found = near_duplicates(docs, distance, id_col, text_col)
+# -- by similarity of the shingle sets -------------------------------------
+
+#: Words of the wide fingerprint; ways in which two minimum hashes bring texts together; pairs measured at once.
+WIDE, WAYS, MEASURED = 8, 6, 1 << 18
+ODD = np.random.default_rng(64).integers(0, 2**63, WIDE + 2 * WAYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th other hash of what ``h`` is a hash of."""
+    h = (h ^ (h >> np.uint64(29))) * ODD[k]
+    return h ^ (h >> np.uint64(32))
+
+
+def expected(similarity: float, bits: int, sigmas: float) -> int:
+    """Differing bits of ``bits`` for two large sets of that Jaccard similarity, and ``sigmas`` standard deviations on."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(round(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5))
+
+
+def sketch(text: bytes, size: int) -> tuple[bytes, list[int], bytes]:
+    """(digest of the words, a key for each way, the wide fingerprint) of a text's set of shingles."""
+    h, flat = shingles(text, size)
+    h = np.unique(h)
+    node = xxhash.xxh3_128_digest(flat)
+    if not len(h):
+        return node, [0] * WAYS, bytes(8 * WIDE)
+    wide = np.array([majority(remixed(h, k)) for k in range(WIDE)], "<u8")
+    least = np.array([remixed(h, WIDE + k).min() for k in range(2 * WAYS)]).reshape(WAYS, 2)
+    return node, (least[:, 0] ^ remixed(least[:, 1], 0)).view(np.int64).tolist(), wide.tobytes()
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the pairs (i, j) that make the minimum spanning forest by d."""
+    order = np.argsort(d, kind="stable")
+    root, chosen = np.arange(n), []
+    left = np.arange(len(order))  # places in that order, the weight of a pair
+    while len(left):
+        a, b = root[i[order[left]]], root[j[order[left]]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            break
+        best = np.full(n, len(order))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        pick = order[np.unique(best[best < len(order)])]
+        chosen.append(pick)
+        join_roots(root, i[pick], j[pick])
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def near_edges(group: np.ndarray, wide: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits): the spanning forest, nearest pairs first, of rows in a group whose wide fingerprints are near."""
+    order = np.lexsort((gray_rank(wide[:, 0]), group))
+    size = np.bincount(group)
+    order = order[size[group[order]] > 1]
+    wide = wide[order]
+    none = np.zeros(0, np.int64)
+    i, j, d = none, none, none
+    for found in GrayIndex(group[order], wide[:, 0]).pairs(radius) if len(order) else ():
+        for a in range(0, len(found[0]), MEASURED):
+            x, y = (f[a : a + MEASURED] for f in found)
+            far = np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64)
+            keep = far <= most
+            i, j, d = np.concatenate([i, x[keep]]), np.concatenate([j, y[keep]]), np.concatenate([d, far[keep]])
+            if len(i) > MEASURED:
+                stay = spanning(len(order), i, j, d)
+                i, j, d = i[stay], j[stay], d[stay]
+    stay = spanning(len(order), i, j, d)
+    return order[i[stay]], order[j[stay]], d[stay]
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, row (hash of the text), component_id (smallest doc_id of the class) and class of every document.
+
+    Classes are the components of the links between texts whose sets of
+    ``size``-word shingles are similar to at least ``similarity``.
+    """
+    radius, near, sure = expected(similarity, 64, 5), expected(similarity, 64 * WIDE, 6), expected(similarity, 64 * WIDE, -6)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+
+    def sketches():
+        return lambda part: [pa.array(c) for c in zip(*[sketch(t, size) for t in text_bytes(part.column("text"))])]
+
+    fields = [T.StructField("node", T.BinaryType()), T.StructField("ways", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType())]
+    marked = written(append_columns(rows, "text", fields, sketches).drop("text"), "sketches")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "row"))
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), place.alias("at"), F.first("ways").alias("ways"), F.first("wide").alias("wide")), "nodes")
+    dealt = nodes.select("node", "wide", F.posexplode("ways").alias("way", "bits"))
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), "<u8").reshape(-1, WIDE)
+        i, j, d = near_edges(_groups(rows), wide, radius, near)
+        node = rows.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array(d.astype(np.int32))], names=["u", "v", "far"])
+
+    found = by_group(in_blocks(dealt, block, "node"), edges, "u binary, v binary, far int")
+    found = written(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("far").alias("far")), "near")
+    certain = found.where(F.col("far") <= sure).select("u", "v")
+    named = components(certain)
+    joined = found.where(F.col("far") > sure)
+    for end in ("u", "v"):
+        joined = joined.join(named.withColumnsRenamed({"node": end, "root": f"{end}_root"}), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    open_ = written(joined.where("u_root <> v_root").select("u", "v"), "open")
+    linked = certain.unionByName(_verified(rows, nodes, open_, similarity, size))
+    named = components(linked)
+    rooted = nodes.select("node", "least").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = rooted.select("node", "root").join(least, "root").select("node", "component_id", F.lower(F.hex("root")).alias("class"))
+    return marked.select("doc_id", "row", "node").join(classes, "node").select("doc_id", "row", "component_id", "class")
+
+
+def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles are similar enough, by one document of each."""
+    ends = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
+    wanted = nodes.join(ends, nodes.node == ends.u, "left_semi").select("node", "at.*").withColumnRenamed("row", "__row")
+    texts = rows.withColumns({"nil": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0)), "__row": F.col("row")}).select("nil", "doc", "__row", "text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = [np.unique(shingles(t, size)[0]).view(np.int64) for t in text_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "items"])
+
+    sets = texts.join(wanted, ["nil", "doc", "__row"]).select("node", "text").mapInArrow(run, "node binary, items array<long>")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    both = both.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("all"))
+    return written(both.where(F.col("shared") >= F.col("all") * similarity).select("u", "v"), "verified")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """The document of the smallest id (then text hash) of each class of near-duplicates; all columns stay.
+
+    Near are fingerprints at most ``distance`` bits apart, or, where
+    ``similarity`` is given, texts that are as similar as that.
+    """
+    if similarity is None:
+        found = near_duplicates(docs, distance, id_col, text_col)
+    else:
+        found = similar_texts(docs, similarity, id_col=id_col, text_col=text_col)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), F.col("doc_id"), F.col("row")))
     stay = found.groupBy("class").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("__doc"), F.col("k.nil").alias("__nil"), F.col("k.row").alias("__row"))
     keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col), F.lit(0)), "__nil": F.col(id_col).isNull(), "__row": F.xxhash64(text_col)})
