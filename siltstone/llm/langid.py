@@ -141,36 +141,42 @@ def build(texts: dict[str, list[bytes]], default: str | None, most_grams: int =
     return kind(langs, members, bits, langs.index(default) if default in langs else 0)
 
 
-def fit(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_out: int = 2, **how) -> LanguageFilter:
-    """Learn from at most ``per_lang`` documents of each language, the first by hash of doc_id.
-
-    Only text and non-null lang of rows whose crc32(doc_id as text) mod
-    ``modulus`` isn't ``held_out`` are used. Two passes: one over lang and
-    doc_id alone finds the hash below which each language has that many rows,
-    the next fetches their texts. More than ``MOST_LANGS`` languages are an error.
+def fit(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_out: int = 2, most_docs: int = 40_000, most_chars: int = 1 << 16, **how) -> LanguageFilter:
+    """Learn from a bounded sample: at most ``per_lang`` documents of each language, the first by hash of doc_id.
+
+    The sample is at most ``most_docs`` documents in all (with over 100
+    languages each has fewer), one for each doc_id and language, whose texts
+    count with ``most_chars`` characters. Only text and non-null lang of rows
+    whose crc32(doc_id as text) mod ``modulus`` isn't ``held_out`` are used.
+    Two passes: one over lang and doc_id alone finds the hash below which each
+    language has that many rows, the next fetches their texts. More than
+    ``MOST_LANGS`` languages are an error.
     """
     from pyspark.sql import Window
 
     open_rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % modulus != held_out))
     key = F.xxhash64("doc_id")
-    counts = {r.lang: r["count"] for r in open_rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    # rows that repeat an id fall below any hash together, so ids are what is counted
+    counts = {r.lang: (r.n, r.ids) for r in open_rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).limit(MOST_LANGS + 1).collect()}
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return LanguageFilter([], [], 8, 0)
+    per_lang = max(1, min(per_lang, most_docs // len(counts)))
     # keep about twice the wanted share of the hash range, then the first per_lang of it
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * per_lang / n + 20 / n)))])
+    share = F.create_map(*[x for lang, (_, n) in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * per_lang / n + 20 / n)))])
     bound = (share[F.col("lang")] * F.lit(float(2**63))).cast("long")
-    near = open_rows.where(F.col("lang").isin(list(counts)) & (F.shiftrightunsigned(key, 1) <= bound)).select("doc_id", "lang", key.alias("key"))
+    near = open_rows.where(F.shiftrightunsigned(key, 1) <= bound).select("doc_id", "lang", key.alias("key")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
     ids = near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang").collect()
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r.doc_id, r.lang) for r in ids], "doc_id long, lang string")
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    chosen = spark.createDataFrame([(r.doc_id, r.lang) for r in ids], T.StructType([docs.schema["doc_id"], docs.schema["lang"]]))
+    text = F.min(F.coalesce(F.substring("text", 1, most_chars), F.lit(""))).alias("text")
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(text).collect()
     texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text or "")):
-        texts[r.lang].append((r.text or "").encode())
-    return build(texts, max(sorted(counts), key=counts.get), **how)
+    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
+        texts[r.lang].append(r.text.encode())
+    return build(texts, max(sorted(counts), key=lambda lang: counts[lang][0]), **how)
 
 
 def language_of(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
