@@ -115,6 +115,24 @@ def echoes(padded: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndar
     return out
 
 
+def gradient(net: ByteNet, texts: list[bytes], labels: np.ndarray, weight: np.ndarray, echo: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(weighted cross-entropy of a batch, its derivative by each of the net's weights)."""
+    padded, first, blocks = chunks(*joined(texts))
+    response = net.responses(padded)  # a batch whole, as its argmax is needed
+    best = np.stack([f + response[f : f + b - 1].argmax(0) for f, b in zip(first, blocks)])
+    top = np.take_along_axis(response, best, 0) + net.bias
+    feature = np.concatenate([np.maximum(top, 0), echo[:, None]], 1)
+    p = 1 / (1 + np.exp(-(feature @ net.unit + net.shift[0])))
+    loss = -(weight * np.log(np.where(labels == 1, p, 1 - p) + 1e-12)).mean()
+    wrong = (p - labels) * weight / len(labels)
+    back = wrong[:, None] * net.unit[:FILTERS] * (top > 0)
+    byte = padded.reshape(-1, STEP)[best[..., None] + np.arange(2)].reshape(*best.shape, 2 * STEP)
+    seen = net.embed[byte].reshape(*best.shape, 2 * STEP * DIMS)
+    g_embed = np.zeros_like(net.embed)
+    np.add.at(g_embed, byte.ravel(), (back[..., None] * net.filters.T[None]).reshape(-1, DIMS))
+    return float(loss), [g_embed, np.einsum("nf,nfk->kf", back, seen), feature.T @ wrong, back.sum(0), wrong.sum(keepdims=True)]
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteNet:
     """Fit by Adam on cross-entropy with the two labels weighed alike."""
     net = ByteNet(seed)
@@ -131,24 +149,10 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            padded, first, blocks = chunks(*joined([texts[i] for i in pick]))
-            response = net.responses(padded)  # a batch whole, as its argmax is needed
-            best = np.stack([f + response[f : f + b - 1].argmax(0) for f, b in zip(first, blocks)])
-            top = np.take_along_axis(response, best, 0) + net.bias
-            hidden = np.maximum(top, 0)
-            feature = np.concatenate([hidden, echo[pick][:, None]], 1)
-            p = 1 / (1 + np.exp(-(feature @ net.unit + net.shift[0])))
-            wrong = (p - labels[pick]) * weight[pick] / len(pick)
-            back = wrong[:, None] * net.unit[:FILTERS] * (top > 0)
-            byte = padded.reshape(-1, STEP)[best[..., None] + np.arange(2)].reshape(*best.shape, 2 * STEP)
-            seen = net.embed[byte].reshape(*best.shape, 2 * STEP * DIMS)
-            g_filters = np.einsum("nf,nfk->kf", back, seen)
-            g_seen = (back[..., None] * net.filters.T[None]).reshape(-1, DIMS)
-            g_embed = np.zeros_like(net.embed)
-            np.add.at(g_embed, byte.ravel(), g_seen)
+            _, slopes = gradient(net, [texts[i] for i in pick], labels[pick], weight[pick], echo[pick])
             step += 1
             pace = rate * (0.3 ** (epoch / epochs))
-            for w, (m, v), g in zip(net.weights(), moments, [g_embed, g_filters, feature.T @ wrong, back.sum(0), wrong.sum(keepdims=True)]):
+            for w, (m, v), g in zip(net.weights(), moments, slopes):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
@@ -159,22 +163,23 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 900, modulus: int = 5, held_out: int = 0, **how) -> ByteNet:
-    """Learn from at most ``per_label`` documents of each label, the first by hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 900, modulus: int = 5, held_out: int = 0, most_chars: int = 1 << 16, **how) -> ByteNet:
+    """Learn from a bounded sample: at most ``per_label`` documents of each label, the first by hash of doc_id.
 
-    Rows whose crc32(doc_id as text) mod ``modulus`` is ``held_out`` are never
-    used. Ids are chosen from the small label table first, so one pass over
-    the documents fetches just the texts chosen.
+    One text counts for each doc_id, with ``most_chars`` characters. Rows whose
+    crc32(doc_id as text) mod ``modulus`` is ``held_out`` are never used. Ids
+    are chosen from the small label table first, so one pass over the
+    documents fetches just the texts chosen.
     """
     told = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    told = told.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out)
+    told = told.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out).distinct()
     ends = [told.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     chosen = [(r.doc_id, r.quality) for part in ends for r in part.collect()]
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(chosen, "doc_id long, quality int") if chosen else spark.createDataFrame([], "doc_id long, quality int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.text or ""))
-    return train([(r.text or "").encode() for r in rows], np.array([r.quality for r in rows]), **how)
+    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([labels.schema["doc_id"], T.StructField("quality", T.IntegerType())]))
+    text = F.min(F.coalesce(F.substring("text", 1, most_chars), F.lit(""))).alias("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(text).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.quality))
+    return train([r.text.encode() for r in rows], np.array([r.quality for r in rows]), **how)
 
 
 def quality_scores(docs: DataFrame, net: ByteNet, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
