@@ -1,16 +1,21 @@
 """WARC derivative builder: response records to metadata and plain-text conversion records.
 
-A response record's block is an HTTP message. Its payload's markup is removed
-to give a conversion record; a metadata record lists the source's headers and
-both digests. Both name the response in WARC-Refers-To, keep its target URI
-and date, and carry digests of their own blocks; record ids are derived from
-the source's id, so a rerun writes the same records.
-
-Edge cases: a null or unreadable record gives one row of type ``error`` that
-says why; null url and null html (in ``response_record``) leave the header out
+A response record's block is an HTTP message. Chunked transfer and gzip or
+deflate coding are undone, the character set is that of Content-Type, else of
+a meta tag, else UTF-8, and the markup is removed to give a conversion record;
+a metadata record lists the source's headers and both digests. Both name the
+response in WARC-Refers-To, keep its target URI and date, and carry digests of
+their own blocks; record ids are derived from the source's id, and that of a
+page from its key, url and payload, so a rerun writes the same records.
+
+A value may hold one record or a whole file of them, gzipped or not; in a file
+only responses are converted and other types passed over.
+
+Edge cases: a null or unreadable record, a payload that can't be decoded, and
+a value without a response give one row of type ``error`` that says why; null url and null html (in ``response_record``) leave the header out
 and the payload empty; pages of any length are converted whole; bytes that are
-not UTF-8 are replaced by U+FFFD; repeated rows give repeated records; other
-columns pass through, but those named like an output are replaced.
+not of the character set are replaced by U+FFFD; equal rows give equal records;
+other columns pass through, but those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,15 +62,87 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def parse(raw: bytes) -> tuple[list[tuple[str, str]], bytes]:
-    """(headers, block) of one record."""
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/"):
+    """(headers, block) of the first record."""
+    headers, at, end = _bounds(raw, 0)
+    return headers, raw[at:end]
+
+
+def _bounds(raw: bytes, at: int) -> tuple[list[tuple[str, str]], int, int]:
+    """(headers, start and end of the block) of the record at ``at``."""
+    gap = raw.find(b"\r\n\r\n", at)
+    if gap < 0 or not raw.startswith(b"WARC/", at):
         raise ValueError("no WARC header")
-    headers = _headers(head.split(b"\r\n")[1:])
+    headers = _headers(raw[at:gap].split(b"\r\n")[1:])
     size = dict((k.lower(), v) for k, v in headers).get("content-length", "")
-    if not size.isdigit() or len(rest) < int(size):
+    if not size.isdigit() or len(raw) - gap - 4 < int(size):
         raise ValueError("the block is cut off or has no length")
-    return headers, rest[: int(size)]
+    return headers, gap + 4, gap + 4 + int(size)
+
+
+def records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of every record of a file, gzipped or not."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = inflated(raw, "gzip")
+    at = 0
+    while at < len(raw):
+        headers, start, end = _bounds(raw, at)
+        yield headers, raw[start:end]
+        at = end
+        while raw[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+
+
+def inflated(data: bytes, coding: str) -> bytes:
+    """gzip (of any number of members) or deflate, with or without its header."""
+    out = []
+    while data.strip(b"\0"):
+        for bits in (31,) if coding == "gzip" else (15, -15):
+            one = zlib.decompressobj(bits)
+            try:
+                out.append(one.decompress(data) + one.flush())
+            except zlib.error:
+                continue
+            break
+        else:
+            raise ValueError(f"{coding} can't be read")
+        if not one.eof:
+            raise ValueError(f"{coding} is cut off")
+        data = one.unused_data if coding == "gzip" else b""
+    return b"".join(out)
+
+
+def unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.match(rb"[0-9A-Fa-f]+", body[at : max(end, at)])
+        if end < 0 or not size:
+            raise ValueError("a chunk has no size")
+        n = int(size[0], 16)
+        if not n:
+            return b"".join(out)
+        if len(body) < end + 2 + n:
+            raise ValueError("a chunk is cut off")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def text_of(payload: bytes, headers: dict[str, str]) -> str:
+    """A payload's characters, its content coding undone."""
+    for coding in reversed([c.strip().lower() for c in headers.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            payload = inflated(payload, coding.removeprefix("x-"))
+        elif coding not in ("", "identity"):
+            raise ValueError(f"content coding {coding}")
+    named = CHARSET.search(headers.get("content-type", "")) or CHARSET.search(payload[:1024].decode("latin-1"))
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def _headers(lines: list[bytes]) -> list[tuple[str, str]]:
@@ -82,38 +161,48 @@ def response_record(key: str, url: str | None, page: str | None, date: str = EPO
     """A response record around a page, as a crawler would have written it."""
     payload = (page or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{uuid.uuid5(NAMESPACE, key).urn}>"), ("WARC-Date", date)]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{uuid.uuid5(NAMESPACE, f'{key} {digest(payload)}').urn}>"), ("WARC-Date", date)]
     headers += [("WARC-Target-URI", url)] if url is not None else []
     headers += [("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http;msgtype=response")]
     return record(headers, block)
 
 
 def derive(raw: bytes | None) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+    """The metadata and the conversion record of each response."""
     if raw is None:
         return [{"record_type": "error", "error": "no record"}]
+    out, kinds = [], []
     try:
-        headers, block = parse(raw)
-        source = {k.lower(): v for k, v in headers}
-        if source.get("warc-type") != "response":
-            raise ValueError(f"record of type {source.get('warc-type')}")
-        if not source.get("warc-record-id"):
-            raise ValueError("no record id")
+        for headers, block in records(raw):
+            source = {k.lower(): v for k, v in headers}
+            kinds.append(source.get("warc-type"))
+            if kinds[-1] == "response":
+                out += _derived(headers, source, block)
     except ValueError as e:
-        return [{"record_type": "error", "error": str(e)}]
-    http, _, payload = block.partition(b"\r\n\r\n")
+        return [*out, {"record_type": "error", "error": str(e)}]
+    return out or [{"record_type": "error", "error": f"no response, but records of type {kinds}"}]
+
+
+def _derived(headers: list[tuple[str, str]], source: dict[str, str], block: bytes) -> list[dict]:
+    if not source.get("warc-record-id"):
+        return [{"record_type": "error", "error": "no record id"}]
+    http, _, body = block.partition(b"\r\n\r\n")
     status, *lines = http.split(b"\r\n")
     http_headers = _headers(lines)
+    named = {k.lower(): v for k, v in http_headers}
     origin = source["warc-record-id"]
+    try:
+        payload = unchunked(body) if "chunked" in named.get("transfer-encoding", "").lower() else body
+        text = plain_text(text_of(payload, named))
+    except ValueError as e:
+        return [{"record_type": "error", "refers_to": origin, "target_uri": source.get("warc-target-uri"), "error": str(e)}]
     found = digest(payload)
     stated = source.get("warc-payload-digest")
-    text = plain_text(payload.decode("utf-8", "replace"))
+    agrees = stated in (found, digest(body))  # some writers digest the chunked form
     linked = [("WARC-Refers-To", origin)] + [(n, source[n.lower()]) for n in ("WARC-Target-URI",) if n.lower() in source]
-    linked += [("WARC-Refers-To-Target-URI", source["warc-target-uri"])] if "warc-target-uri" in source else []
-    linked += [("WARC-Refers-To-Date", source["warc-date"])] if "warc-date" in source else []
     fields = [("source-status", status.decode("utf-8", "replace")), *[(f"source-http-{k.lower()}", v) for k, v in http_headers]]
     fields += [(f"source-{k.lower()}", v) for k, v in headers]
-    fields += [("payload-digest", found), ("payload-digest-agrees", "unknown" if stated is None else str(stated == found).lower()), ("text-characters", str(len(text)))]
+    fields += [("payload-digest", found), ("payload-digest-agrees", "unknown" if stated is None else str(agrees).lower()), ("text-characters", str(len(text)))]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     out = []
     for kind, media, body in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text.encode())):
@@ -133,7 +222,7 @@ AT_ONCE = 256
 
 
 def derivatives(records: DataFrame, warc_col: str = "warc") -> DataFrame:
-    """Two rows for each response in ``warc_col`` (binary): its metadata and its conversion record."""
+    """Two rows for each response in ``warc_col`` (binary, a record or a file of them): its metadata and its conversion record."""
     keep = [f for f in records.schema.fields if f.name != warc_col and f.name.lower() not in KINDS]
     names = [f.name for f in keep]
 
