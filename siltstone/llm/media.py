@@ -97,7 +97,7 @@ def encode_netpbm(image: np.ndarray) -> bytes:
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
-    """Uncompressed 1, 4, 8, 24 or 32 bits a pixel; a grey palette gives [height, width]."""
+    """Uncompressed 1, 4, 8, 24 or 32 bits a pixel, the last with masks of whole bytes too; a grey palette gives [height, width]."""
     if len(raw) < 54 or raw[:2] != b"BM":
         raise MediaError("not a BMP file")
     start, head = struct.unpack_from("<II", raw, 10)
@@ -113,7 +113,13 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     body = np.frombuffer(raw, np.uint8, line * rows, start).reshape(rows, line)
     body = body[::-1] if height > 0 else body
     if depth >= 24:
-        return np.ascontiguousarray(body[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1])
+        order = [2, 1, 0]
+        if packed == 3:
+            masks = struct.unpack_from("<III", raw, 54) if len(raw) >= 66 else ()
+            order = [m.bit_length() // 8 - 1 for m in masks]
+            if [255 << 8 * max(k, 0) for k in order] != [*masks]:
+                raise MediaError("colour masks that aren't whole bytes")
+        return np.ascontiguousarray(body[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, order])
     colours = used or 1 << depth
     if len(raw) < 14 + head + 4 * colours:
         raise MediaError("palette is cut off")
