@@ -15,7 +15,7 @@ from siltstone.llm import simhash, substrings
 from siltstone.llm.components import components
 from siltstone.llm.lines import drop_shared_lines
 from siltstone.llm.mixing import mix, mixed, targets
-from siltstone.llm.topk import binary_codes, top_k
+from siltstone.llm.topk import binary_codes, segments_for, top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string"
@@ -67,7 +67,7 @@ def test_top_k_is_exact(spark):
     df = spark.createDataFrame(rows, "id long, code long")
     asked = df.where("id % 50 = 0 or id = 750")
     got = defaultdict(list)
-    for r in top_k(df, asked, 10, codes_at_once=150, queries_at_once=7).orderBy("query_id", "rank").collect():
+    for r in top_k(df, asked, 10).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.distance, r.neighbor_id))
     u = codes.view(np.uint64)
     for q in [r.id for r in asked.collect()]:
@@ -78,6 +78,30 @@ def test_top_k_is_exact(spark):
     assert len(top_k(df.where("id < 3"), df.where("id = 0")).collect()) == 2
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Queries asked twice, ids with several codes or rows, a code that most rows have."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), int(c)) for i, c in zip(rng.integers(0, 150, 400), rng.choice(rng.integers(0, 2**63, 60), 400))]
+    rows += [(i, 5) for i in range(300)] + [(7, 5)] * 20 + [(1000, 6), (1000, 6), (1001, 2**62)]
+    asked = [(7, 5), (7, 5), (1000, 6), (1001, 2**62), (rows[0][0], rows[0][1]), (rows[0][0], 77), (9999, 5)]
+    shape = "id long, code long"
+    for k in (3, 12):
+        got = defaultdict(Counter)
+        for r in top_k(spark.createDataFrame(rows, shape), spark.createDataFrame(asked, shape), k).collect():
+            got[r.query_id][r.rank, r.neighbor_id, r.distance] += 1
+        want = defaultdict(Counter)
+        for i, c in set(asked):
+            near = sorted(((c ^ x).bit_count(), n) for n, x in rows if n != i)[:k]
+            want[i].update((rank, n, d) for rank, (d, n) in enumerate(near, 1))
+        assert got == want
+
+
+def test_segments_cover_all_bits():
+    for n in (0, 1, 500, 10**5, 10**9, 10**12):
+        cut = segments_for(n)
+        assert cut[0][0] == 0 and all(a + w == b for (a, w), (b, _) in zip(cut, cut[1:])) and sum(cut[-1]) == 64
+
+
 def test_binary_codes(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (2, [-1.0] * 63 + [0.0]), (3, None), (4, []), (None, [1.0] * 64), (5, [float("nan")] * 64)], "vec_id long, embedding array<float>")
     assert {r.id: r.code for r in binary_codes(df).collect()} == {1: -1, 2: -(2**63), 5: 0}
@@ -243,6 +267,86 @@ def test_near_duplicates_edge_cases(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0 and simhash.one_of_each(df.where("false")).count() == 0
 
 
+def similar_by_hand(texts, similarity=0.8, size=5):
+    """Each text's first of its class: sets of shingles compared pair by pair."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+        w = WORD.findall(w)
+        sets.append({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def similar_rows():
+    """Texts with copies of which some words are changed, so that similarities spread around the bound; and chains."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        base = [f"v{x}" for x in rng.integers(0, 3000, rng.integers(5, 400))]
+        for _ in range(rng.integers(1, 5)):
+            w = list(base)
+            for at in rng.integers(0, len(w), rng.integers(0, 1 + len(w) // 25)):
+                w[at] = f"n{rng.integers(0, 10**6)}"
+            rows.append(" ".join(w))
+    walk = [f"c{x}" for x in range(100)]
+    for k in range(0, 60, 4):
+        walk[k] = f"d{k}"
+        rows.append(" ".join(walk))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 6])
+def test_similar_texts(spark, block):
+    rows = similar_rows() + [(-1, None), (-2, " \n"), (None, "only four words here"), (2000, "Only  four words\there"), (2000, "Only  four words\there"), (2001, "z " * 200_000), (2002, "z z z z z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("old") for c in ("node", "wide", "ways", "nil", "doc")})
+    want = similar_by_hand([t for _, t in rows])
+    found = simhash.similar_texts(df, block=block).collect()
+    assert len(found) == len(rows)
+    mine, hand, least = defaultdict(set), defaultdict(set), {}
+    for k, (d, _) in enumerate(rows):
+        hand[want[k]].add(d)
+    for r in found:
+        mine[r["class"]].add(r.doc_id)
+        least[r["class"]] = r.component_id
+    assert sorted(map(str, map(lambda s: sorted(s, key=str), mine.values()))) == sorted(map(str, map(lambda s: sorted(s, key=str), hand.values())))
+    assert all(least[c] == min((d for d in ids if d is not None), default=None) for c, ids in mine.items())
+    kept = simhash.one_of_each(df, similarity=0.8).collect()
+    assert len(kept) == len(set(want)) and set(kept[0].asDict()) == set(df.columns)
+    assert simhash.similar_texts(df.where("false")).count() == 0
+
+
+def test_spanning_forest_is_the_least():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (12, 30), (40, 400), (30, 10)):
+        i, j, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        root = list(range(n))
+        cost = 0
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for k in np.argsort(d, kind="stable"):
+            a, b = find(int(i[k])), find(int(j[k]))
+            if a != b:
+                root[a] = b
+                cost += int(d[k])
+        pick = simhash.spanning(n, i, j, d)
+        assert int(d[pick].sum()) == cost and len(pick) == n - len({find(x) for x in range(n)})
+
+
 def near_zero(rows):
     return next(r.component_id for r in rows if r.fingerprint == "0" * 16)
 
@@ -447,7 +551,7 @@ def test_pipeline_stage_by_stage(spark):
     assert all(r.n_chars == len(r.text) for r in after.collect())
     before, after = seen["near_duplicates"]
     rows = sorted((r.doc_id, r.text) for r in before.collect())
-    root = roots_by_hand(np.array([fingerprint_by_hand(t) for _, t in rows], np.uint64))
+    root = similar_by_hand([t for _, t in rows])  # five words, 0.8
     assert sorted(r.doc_id for r in after.collect()) == sorted(rows[k][0] for k in set(root))
     before, after = seen["mixing"]
     plan = {r.doc_id: (r.taken, r.size) for r in mix(before).collect()}
@@ -477,7 +581,7 @@ def test_pipeline_stages_take_what_comes(spark, tmp_path):
             ids = Counter((r.doc_id, r.text) for r in found)
             if df.count() and name == "lines":
                 assert len(found) == len(rows)
-            if df.count() and name == "near_duplicates":  # zero, "some words here", the long one, the last one
+            if df.count() and name == "near_duplicates":  # no words, "some words here", the long one, the last one
                 assert len(found) == 4 and ids[3, "some words here"] == 1 and ids[1, None] == 1
             if df.count() and name == "mixing":
                 assert all(r.text.split() for r in found)

@@ -1,9 +1,12 @@
 """Operators that treat each document alone: media, language, quality, BPE, WARC."""
 
+import gzip
 import hashlib
 import io
 import random
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -148,6 +151,20 @@ def test_bmp():
     assert media.decode(bmp(4, [b"\x10"], bytes([1, 2, 3, 0, 4, 5, 6, 0]))).tolist() == [[[6, 5, 4], [3, 2, 1]]]
 
 
+def test_bmp_with_masks():
+    def masked(masks, pixel):
+        raw = bytearray(bmp(32, [pixel * 2], b"".join(m.to_bytes(4, "little") for m in masks)))
+        raw[30:34], raw[46:50] = (3).to_bytes(4, "little"), bytes(4)
+        return bytes(raw)
+
+    assert media.decode(masked((0xFF0000, 0xFF00, 0xFF), bytes([3, 2, 1, 9]))).tolist() == [[[1, 2, 3], [1, 2, 3]]]
+    assert media.decode(masked((0xFF, 0xFF00, 0xFF0000), bytes([3, 2, 1, 9]))).tolist() == [[[3, 2, 1], [3, 2, 1]]]
+    assert media.decode(masked((0xFF000000, 0xFF0000, 0xFF00), bytes([9, 3, 2, 1]))).tolist() == [[[1, 2, 3], [1, 2, 3]]]
+    for masks in ((0x3FF, 0xFFC00, 0x3FF00000), (0, 0xFF00, 0xFF)):
+        with pytest.raises(media.MediaError):
+            media.decode(masked(masks, bytes(4)))
+
+
 def test_area_resize_is_the_mean_of_areas():
     rng = np.random.default_rng(2)
     image = rng.integers(0, 256, (6, 9)).astype(np.uint8)
@@ -168,6 +185,16 @@ def test_media_columns(spark):
     assert b.media_error is None and b.tile is None and c.media_error and c.tile is None and np.load(io.BytesIO(d.tile)).shape == (8, 8, 3)
 
 
+def test_media_columns_take_what_comes(spark):
+    """An empty table, repeated rows, and a null, an empty and a long image."""
+    shape = "id int, media binary"
+    assert media.media_columns(spark.createDataFrame([], shape)).count() == 0
+    image = media.encode_netpbm(np.arange(256, dtype=np.uint8).reshape(16, 16))
+    long = media.encode_netpbm(np.zeros((20_000, 64), np.uint8))
+    rows = media.media_columns(spark.createDataFrame([(1, image), (1, image), (2, None), (3, b""), (4, long)], shape)).collect()
+    assert len(rows) == 5 and rows[0] == rows[1] and rows[0].tile and rows[2].tile is None and rows[3].media_error and rows[4].height == 20_000
+
+
 def test_texts_as_media(edge, empty):
     rows = media.text_media(edge).collect()
     assert len(rows) == len(EDGE)
@@ -206,6 +233,34 @@ def test_bloom_filter_has_no_false_negatives_and_knows_its_rate():
         assert abs(((f.masks(other) >> i) & 1).mean() - f.false_rate[i]) < 0.01
 
 
+def test_language_by_hand():
+    """Masks, popcounts, their correction and the decision, recomputed with sets and loops."""
+    rng = np.random.default_rng(2)
+    samples = {lang: [" ".join("".join(rng.choice(list(letters), 5)) for _ in range(200)).encode()] for lang, letters in (("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "xyzabÉ"))}
+    f = langid.build(samples, "bb", bits=9)  # few slots, so that false positives abound
+    texts = [b"abcdefg abcdefg", "xyza É yxab".encode(), b"", b"abc", b"1234 5678", b"efge ghij abcd", "ÉÉ xxyz".encode(), b"QRST UVWX"]
+    slot = lambda gram, m: ((gram * m) & 0xFFFFFFFF) >> (32 - 9)
+
+    def grams(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" or "\xc0" <= c <= "\xde" and c != "\xd7" else c for c in text.decode()).encode()
+        return [int.from_bytes(low[i : i + 4], "little") for i in range(len(low) - 3)]
+
+    held = {lang: {slot(g, m) for t in ts for g in grams(t) for m in langid.HASHES} for lang, ts in samples.items()}
+    want_lang, want_score = [], []
+    for t in texts:
+        hits = {}
+        for lang, slots in held.items():
+            rate = (len(slots) / 2**9) ** 2
+            c = sum(all(slot(g, m) in slots for m in langid.HASHES) for g in grams(t))
+            hits[lang] = max(c - len(grams(t)) * rate, 0) / (1 - rate)
+        total = sum(hits.values())
+        lettered = any(c.isalpha() for c in t.decode())
+        want_lang.append("und" if not lettered else max(hits, key=lambda k: (hits[k], -ord(k[0]))) if total else "bb")
+        want_score.append(0.0 if not lettered else max(hits.values()) / total if total else 1 / 3)
+    lang, score = f.predict(*quality.joined(texts))
+    assert lang == want_lang and np.allclose(score, want_score)
+
+
 def test_more_languages_than_a_word_has_bits(spark, monkeypatch):
     """Each of 70 languages is learned and found; too many are an error."""
     rng = np.random.default_rng(8)
@@ -262,7 +317,77 @@ def test_quality_on_held_out(spark):
 
 
 def test_quality_gradient():
-    """One step of training lowers the loss that numeric differences say it should."""
+    """The derivative of every kind of weight is that of numeric differences."""
+    rng = np.random.default_rng(5)
+    net = quality.ByteNet(3)
+    for k in ("embed", "filters", "unit", "bias", "shift"):  # double precision, away from zero
+        setattr(net, k, getattr(net, k).astype(np.float64) + rng.normal(0, 0.3, getattr(net, k).shape))
+    texts = [b"the quick brown fox jumps", b"!!!!!!!! $$$$", b"", "wörd ".encode() * 9]
+    labels, weight, echo = np.array([1.0, 0, 0, 1]), np.array([0.7, 1.3, 1.3, 0.7]), np.array([0.0, 0.5, 0, 1])
+    _, slopes = quality.gradient(net, texts, labels, weight, echo)
+    for w, g in zip(net.weights(), slopes):
+        used = np.argwhere(np.abs(g) > 1e-4)
+        for at in map(tuple, used[rng.integers(0, len(used), 12)]):
+            loss = []
+            for step in (1e-6, -2e-6):
+                w[at] += step
+                loss.append(quality.gradient(net, texts, labels, weight, echo)[0])
+            w[at] += 1e-6
+            assert (loss[0] - loss[1]) / 2e-6 == pytest.approx(g[at], rel=1e-3, abs=1e-6)
+
+
+def score_by_hand(net, text):
+    """The forward pass, chunk by chunk and filter by filter."""
+    size = max(1, -(-len(text) // 4))
+    raw = text.ljust(4 * size + 4, b"\0")
+    hidden = []
+    for f in range(quality.FILTERS):
+        best = -np.inf
+        for c in range(size):
+            seen = [net.embed[b] for b in raw[4 * c : 4 * c + 8]]
+            best = max(best, sum(float(np.dot(e.astype(float), net.filters[6 * k : 6 * k + 6, f])) for k, e in enumerate(seen)))
+        hidden.append(max(0.0, best + net.bias[f]))
+    same = []
+    for c in range(size):
+        here = raw[4 * c : 4 * c + 8]
+        back = [raw[4 * c - n : 4 * c - n + 8] for n in range(2, 33) if 4 * c - n >= 0]
+        same.append(here in back and here != bytes(8))
+    echo = max(sum(same[c : c + 12]) / 12 for c in range(size))
+    return 1 / (1 + np.exp(-(np.dot([*hidden, echo], net.unit.astype(float)) + net.shift[0])))
+
+
+def test_quality_forward_pass():
+    net = quality.train([b"clean words here, and more of them", b"$$$$$$$$ #### spam spam spam spam spam spam"] * 8, np.array([1, 0] * 8), epochs=6)
+    texts = [b"", b"abc", b"clean words", b"spam spam spam spam spam spam spam spam spam spam spam spam", "é".encode() * 31, b"x" * 200, b"four" * 9 + b"five", bytes(range(256))]
+    got = net.scores(*quality.joined(texts))
+    assert np.allclose(got, [score_by_hand(net, t) for t in texts], atol=2e-5)
+
+
+def test_fits_of_repeated_rows_are_bounded(spark, monkeypatch):
+    """Copies of a sampled id count once, and long texts with a bounded part."""
+    seen = {}
+    monkeypatch.setattr(langid, "build", lambda texts, *a, **k: seen.update(texts))
+    monkeypatch.setattr(quality, "train", lambda texts, labels, **k: seen.update(quality=(texts, labels.tolist())))
+    rows = [(1, f"copy {i} of a text", "en") for i in range(300)] + [(i, "ein Wort " * 50, "de") for i in (3, 4, 5, 6)] + [(8, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(docs, most_chars=20)
+    assert len(seen["en"]) <= 1 and 1 <= len(seen["de"]) <= 5 and max(map(len, seen["de"])) <= 20
+    langid.fit(docs, per_lang=400, most_docs=2)
+    assert len(seen["en"]) <= 1 and len(seen["de"]) == 1
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    quality.fit(docs, labels, most_chars=30)
+    texts, told = seen["quality"]
+    assert len(texts) == len(told) <= 3 and max(map(len, texts)) <= 30
+
+
+def test_fits_take_ids_of_any_type(spark):
+    docs, labels = sets(spark, "sf0.001")
+    text_id = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id")
+    named, told = docs.select(text_id, "text", "lang"), labels.select(text_id, "quality")
+    assert langid.fit(named).langs and quality.fit(named, told, epochs=1) is not None
+
+
+def test_quality_learns():
     texts, labels = [b"the quick brown fox", b"!!!!!!!! $$$$", b"a lazy dog sleeps", b"%%%% &&&& ####"] * 4, np.array([1, 0, 1, 0] * 4)
     net = quality.train(texts, labels, epochs=40, batch=8)
     p = net.scores(*quality.joined(texts))
@@ -305,13 +430,87 @@ def test_derivatives(spark):
     assert meta.refers_to == text.refers_to == origin and meta.record_id != text.record_id
     headers, block = warc.parse(bytes(text.record))
     headers = dict(headers)
-    assert block == b"Hi" and headers["WARC-Refers-To"] == origin and headers["WARC-Block-Digest"] == warc.digest(b"Hi") == text.block_digest and headers["WARC-Refers-To-Target-URI"] == "http://a/ü"
+    assert block == b"Hi" and headers["WARC-Refers-To"] == origin and headers["WARC-Block-Digest"] == warc.digest(b"Hi") == text.block_digest and headers["WARC-Target-URI"] == "http://a/ü"
+    assert not [h for h in headers if h.startswith("WARC-Refers-To-")]  # those are for revisit records
     fields = dict(line.split(": ", 1) for line in warc.parse(bytes(meta.record))[1].decode().split("\r\n") if line)
     assert fields["payload-digest"] == warc.digest(b"<p>Hi</p>") and fields["payload-digest-agrees"] == "true" and fields["source-http-content-type"].startswith("text/html")
     assert by[2, "conversion"].target_uri is None and by[2, "conversion"].content_length == 0
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+def http(head, body, **warc_headers):
+    block = ("HTTP/1.1 200 OK\r\n" + head + "\r\n").encode() + body
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<r>"), *warc_headers.items()], block)
+
+
+def test_codings_and_character_sets():
+    page = "<p>Grüße — ok</p>"
+    utf, gz = page.encode(), gzip.compress(page.encode())
+    chunked = b"5\r\n" + utf[:5] + b"\r\n" + b"%x;ext=1\r\n" % len(utf[5:]) + utf[5:] + b"\r\n0\r\n\r\n"
+    cases = [
+        ("", utf), ("Content-Encoding: gzip\r\n", gz), ("content-encoding: GZIP\r\n", gz + b""), ("Content-Encoding: deflate\r\n", zlib.compress(utf)), ("Content-Encoding: deflate\r\n", zlib.compress(utf)[2:-4]),
+        ("Transfer-Encoding: chunked\r\n", chunked), ("Content-Type: text/html; charset=utf-16\r\n", page.encode("utf-16")), ("Content-Type: text/html; charset=\"windows-1252\"\r\n", page.encode("cp1252")),
+        ("", b"<meta charset='windows-1252'>" + page.encode("cp1252")), ("Content-Type: text/html; charset=no-such\r\n", utf),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", b"%x\r\n" % len(gz) + gz + b"\r\n0\r\n\r\n"),
+    ]
+    for head, body in cases:
+        _, text = warc.derive(http(head, body))
+        assert warc.parse(text["record"])[1].decode() == "Grüße — ok", head
+    for stated in (utf, chunked):
+        meta, _ = warc.derive(http("Transfer-Encoding: chunked\r\n", chunked, **{"WARC-Payload-Digest": warc.digest(stated)}))
+        assert b"payload-digest-agrees: true" in meta["record"] and meta["payload_digest"] == warc.digest(utf)
+    for head, body in (("Content-Encoding: br\r\n", b"x"), ("Content-Encoding: gzip\r\n", gz[:-9]), ("Content-Encoding: gzip\r\n", b"no"), ("Transfer-Encoding: chunked\r\n", b"zz\r\n"), ("Transfer-Encoding: chunked\r\n", b"9\r\nab")):
+        (bad,) = warc.derive(http(head, body))
+        assert bad["record_type"] == "error" and bad["error"] and bad["refers_to"] == "<r>"
+
+
+def test_files_of_many_records(spark):
+    one, two = (warc.response_record(k, f"http://{k}", f"<p>{k}") for k in "ab")
+    info = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"x")
+    df = spark.createDataFrame([(1, info + one + two), (2, gzip.compress(info) + gzip.compress(one) + gzip.compress(two)), (3, info + one + two[:-30]), (4, info)], "id int, warc binary")
+    rows = warc.derivatives(df).collect()
+    kinds = {i: [r.record_type for r in rows if r.id == i] for i in (1, 2, 3, 4)}
+    assert kinds == {1: ["metadata", "conversion"] * 2, 2: ["metadata", "conversion"] * 2, 3: ["metadata", "conversion", "error"], 4: ["error"]}
+    assert len({r.record_id for r in rows if r.id == 1}) == 4
+
+
+def test_every_page_comes_back(spark):
+    """Over all pages: ids are unique, digests and links right, and the text that of an own, plain stripper."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    twin = pages.limit(1).withColumn("html", F.lit("<p>other"))
+    rows = warc.derivatives(warc.responses(pages.unionByName(twin))).collect()
+    source = [(r.page_id, r.url, r.html) for r in pages.unionByName(twin).collect()]
+    assert len(rows) == 2 * len(source) and len({r.record_id for r in rows}) == len(rows)
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "template", "noscript")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "template", "noscript") and self.hidden > 0
+
+        def handle_data(self, data):
+            self.out += [] if self.hidden else [data]
+
+    want = Counter()
+    for _, url, page in source:
+        p = Plain()
+        p.feed(page or "")
+        p.close()
+        want[url, warc.digest((page or "").encode()), "".join("".join(p.out).split())] += 1
+    got = Counter()
+    for r in rows:
+        headers, block = warc.parse(bytes(r.record))
+        assert dict(headers)["WARC-Block-Digest"] == warc.digest(block) == r.block_digest and r.content_length == len(block) and dict(headers)["WARC-Refers-To"] == r.refers_to
+        if r.record_type == "conversion":
+            got[r.target_uri, r.payload_digest, "".join(block.decode().split())] += 1
+    assert got == want
+
+
 def test_records_that_cannot_be_read(spark):
     other = warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<x>")], b"")
     good = warc.response_record("k", "u", "p")
