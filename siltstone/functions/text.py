@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What the page-text normaliser drops, and what it keeps.
-DIACRITICS = r"[ً-ٰٟۖ-ۭـ]"
-NOT_KEPT = r"[^0-9؀-ۿa-zA-Z\s\-/\._:]"
-HARAKAT = r"[ً-ْـ]"
+# What the page-text normaliser drops (vowel and reading marks, stretching), and what it keeps.
+DIACRITICS = "".join(map(chr, [*range(0x64B, 0x660), 0x670, *range(0x6D6, 0x6EE), 0x640]))
+HARAKAT = "".join(map(chr, [*range(0x64B, 0x653), 0x640]))
+NOT_KEPT = r"[^0-9\u0600-\u06FFa-zA-Z\-/._:]+"
+ALEF_FORMS, ALEF_PLAIN = "\u0625\u0623\u0622\u0649\u0629", "\u0627\u0627\u0627\u064A\u0647"
 EASTERN_DIGITS, WESTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩", "0123456789"
 #: White space as Python has it (Java's \s is ASCII only).
-BLANK = r"[\s\x1C-\x1F\x85   -     　]"
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLANK = f"[{BLANKS}]"
 
 
 def as_col(c: Column | str) -> Column:
@@ -20,7 +22,7 @@ def as_col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(as_col(c), f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(as_col(c), F.lit(BLANKS))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -28,29 +30,52 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_col(c), f"{BLANK}+", " "))
 
 
-def fold(c: Column | str) -> Column:
-    """Case folding for comparison: lower case, with sharp s and final sigma as their folded forms.
+def _rare_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What lower case leaves to be folded, but for sharp s and final sigma: (one letter to one, one to several)."""
+    rest = {c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() != c.casefold() or c.lower().casefold() != c.lower()}
+    rest = {low: f for c, f in rest.items() for low in (c, c.lower()) if len(low) == 1 and low.casefold() != low and low not in "ßς"}
+    return {c: f for c, f in rest.items() if len(f) == 1}, {c: f for c, f in rest.items() if len(f) > 1}
 
-    The remaining full foldings (ligatures, a few Greek and Armenian letters)
-    are left in lower case; `fold_text` treats query text the same way.
-    """
-    return F.replace(F.replace(F.lower(as_col(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+_one, _many = _rare_folds()
+
+
+def _class(letters: str) -> str:
+    """A character class of ranges; Java tries the parts of a class one by one."""
+    points = sorted(map(ord, letters))
+    first = [p for p in points if p - 1 not in points]
+    last = [p for p in points if p + 1 not in points]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(first, last)) + "]"
+
+
+#: Where a rare letter may be: beyond Latin with its common accents. One range, so that other text passes fast.
+_BEYOND = f"[^\\x00-\\x{{{min(map(ord, [*_one, *_many]), key=lambda p: (p < 0x100, p)) - 1:X}}}]|[" + "".join(c for c in [*_one, *_many] if ord(c) < 0x100) + "]"
+_SEVERAL = _class("".join(_many))
+
+
+def fold(c: Column | str) -> Column:
+    """Full case folding: lower case, and what Unicode folds beyond it (sharp s, final sigma, ligatures, Greek, Armenian, Cherokee)."""
+    low = F.replace(F.replace(F.lower(as_col(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    ones = F.translate(low, "".join(_one), "".join(_one.values()))
+    table = F.create_map(*[F.lit(x) for pair in _many.items() for x in pair])
+    several = F.array_join(F.transform(F.split(ones, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(~F.rlike(low, F.lit(_BEYOND)), low).when(F.rlike(ones, F.lit(_SEVERAL)), several).otherwise(ones)
 
 
 def fold_text(s: str) -> str:
-    return s.lower().replace("ß", "ss").replace("ς", "σ")
+    return s.casefold()
 
 
 def normalize_arabic(c: Column | str) -> Column:
     """Search form of page text; null becomes ''."""
-    s = F.regexp_replace(strip(F.coalesce(as_col(c).cast("string"), F.lit(""))), DIACRITICS, "")
-    s = F.translate(s, "إأآىة" + EASTERN_DIGITS, "ااايه" + WESTERN_DIGITS)
-    return squeeze(F.regexp_replace(fold(s), NOT_KEPT, " "))
+    # marks are deleted, letters and digits replaced, in one pass; runs of blanks and of what isn't kept are one space
+    s = F.translate(F.coalesce(as_col(c).cast("string"), F.lit("")), ALEF_FORMS + EASTERN_DIGITS + DIACRITICS, ALEF_PLAIN + WESTERN_DIGITS)
+    return F.trim(F.regexp_replace(fold(s), NOT_KEPT, " "))
 
 
 def undiacritize(c: Column | str) -> Column:
     """Without short vowels and stretching marks, white space squeezed."""
-    return squeeze(F.regexp_replace(F.coalesce(as_col(c), F.lit("")), HARAKAT, ""))
+    return squeeze(F.translate(F.coalesce(as_col(c), F.lit("")), HARAKAT, ""))
 
 
 def strip_leading_number(c: Column | str) -> Column:

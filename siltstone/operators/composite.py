@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import clean_items, lenient_timestamp, normalize_arabic, page_order, relative_path, split_list, strip_leading_number
-from siltstone.operators.semantic import AutoTune, auto_tuned, scored
+from siltstone.operators.semantic import PLACES, AutoTune, auto_tuned, over_threshold, scored
 
 MOST_CANDIDATES = 300_000
 
@@ -105,18 +105,22 @@ def substring_or(pages: DataFrame, queries: Sequence[str]) -> DataFrame:
     return pages.where(reduce(or_, tests) if tests else F.lit(False))
 
 
-def chunk_search(chunks: DataFrame, query: Sequence[float], pages: DataFrame | None = None, k: int | None = None, tune: AutoTune | None = None) -> DataFrame:
+def chunk_search(chunks: DataFrame, query: Sequence[float], pages: DataFrame | None = None, k: int | None = None, tune: AutoTune | None = None, threshold: float | None = None) -> DataFrame:
     """chunk_id, page_index, source_ranges, score of chunks by inner product, in pages only if given.
 
-    With ``tune`` the threshold is tuned to a wanted number of hits, else the k (80 if k isn't positive) best count.
+    With ``threshold`` all hits that reach it, unsorted. Else, with ``tune``
+    the threshold is tuned to a wanted number of hits, or the k (80 if k isn't
+    positive) best count.
     """
     scope = chunks if pages is None else chunks.join(pages.select("page_index").distinct(), "page_index", "left_semi")
-    hits = scored(scope, query, id_col="chunk_id", inner_product=True)
+    hits = scored(scope, query, id_col="chunk_id", inner_product=True, keep=("page_index", "source_ranges")).withColumnRenamed("id", "chunk_id")
+    hits = hits.select("chunk_id", "page_index", "source_ranges", "score")
+    if threshold is not None:
+        return over_threshold(hits, threshold)
     if tune is not None:
         hits = auto_tuned(hits, tune)
     k = MOST_CANDIDATES if k is None else k if k > 0 else 80
-    best = hits.orderBy(F.round("score", 9).desc(), "id").limit(k).withColumnRenamed("id", "chunk_id")
-    return scope.select("chunk_id", "page_index", "source_ranges").join(best, "chunk_id")
+    return hits.orderBy(F.round("score", PLACES).desc(), "chunk_id").limit(k)
 
 
 def with_vectors(chunks: DataFrame, vectors: DataFrame, row: str = "row") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +26,11 @@ class VectorQuery:
             raise BadQuery("a query vector has finite components, one at least")
 
 
-def scored(vectors: DataFrame, query: Sequence[float], id_col: str = "id", vector_col: str = "vector", inner_product: bool = False) -> DataFrame:
-    """id, score of every vector."""
+def scored(vectors: DataFrame, query: Sequence[float], id_col: str = "id", vector_col: str = "vector", inner_product: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """id, the columns of ``keep``, score of every vector."""
     q = literal(query)
     score = dot(vector_col, q) if inner_product else cosine(vector_col, q, norm_b=F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
-    return vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), score.alias("score"))
+    return vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), *keep, score.alias("score"))
 
 
 def by_score(hits: DataFrame) -> list:
@@ -44,6 +45,30 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, **columns) -> Da
     return hits.orderBy(*by_score(hits)).limit(k)
 
 
+class VectorStore(Protocol):
+    """What vector search asks: anything with this method can stand in for the table of vectors."""
+
+    def scores(self, queries: Sequence[VectorQuery], scope: DataFrame | None = None) -> DataFrame:
+        """query (its number), id, score; only of the ids in ``scope`` (column id) if given."""
+        ...
+
+
+@dataclass(frozen=True)
+class TableStore:
+    """A table of vectors, which are all scored by cosine, every query in one pass."""
+
+    vectors: DataFrame
+    id_col: str = "id"
+    vector_col: str = "vector"
+
+    def scores(self, queries: Sequence[VectorQuery], scope: DataFrame | None = None) -> DataFrame:
+        each = [F.struct(F.lit(i).alias("query"), cosine(self.vector_col, literal(q.vector), norm_b=F.lit(sum(x * x for x in q.vector) ** 0.5)).alias("score")) for i, q in enumerate(queries)]
+        found = self.vectors.where(F.col(self.vector_col).isNotNull())
+        if scope is not None:
+            found = found.join(scope.select(F.col("id").alias(self.id_col)), self.id_col, "left_semi")
+        return found.select(F.col(self.id_col).alias("id"), F.inline(F.array(*each)))
+
+
 Combine = Callable[[DataFrame, Sequence[VectorQuery]], DataFrame]
 _combinations: dict[str, Combine] = {}
 
@@ -79,15 +104,12 @@ def weighted_average(pooled: DataFrame, queries: Sequence[VectorQuery]) -> DataF
     return pooled.groupBy("id").agg((F.sum(F.col("score") * weight) / F.lit(float(total))).alias("score"))
 
 
-def multi_search(vectors: DataFrame, queries: Sequence[VectorQuery], combine: str = "max_score", pool: int | None = None, top_k: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """id, score over several queries: each query's ``pool`` best, combined, and of those the ``top_k`` best.
-
-    All queries are scored in one pass over the vectors.
-    """
+def multi_search(vectors: DataFrame | VectorStore, queries: Sequence[VectorQuery], combine: str = "max_score", pool: int | None = None, top_k: int | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """id, score over several queries: each query's ``pool`` best, combined, and of those the ``top_k`` best."""
     if not queries:
         raise BadQuery("no query vector")
-    scores = [F.struct(F.lit(i).alias("query"), cosine(vector_col, literal(q.vector), norm_b=F.lit(sum(x * x for x in q.vector) ** 0.5)).alias("score")) for i, q in enumerate(queries)]
-    pooled = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.inline(F.array(*scores)))
+    store = TableStore(vectors) if isinstance(vectors, DataFrame) else vectors
+    pooled = store.scores(queries, scope)
     if pool is not None:
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", PLACES).desc(), "id"))
         pooled = pooled.withColumn("place", place).where(F.col("place") <= pool).drop("place")
@@ -170,11 +192,23 @@ def scale_zsigmoid(hits: DataFrame) -> DataFrame:
     return t.select(*hits.columns, F.when(F.col("sd") < 1e-12, F.lit(1.0)).otherwise(1 / (1 + F.exp(-z))).alias("scaled"))
 
 
-def rank_percentile(hits: DataFrame) -> DataFrame:
-    """scaled = 1 for the best, 0 for the worst, evenly between; 1 for a single hit."""
-    place = F.row_number().over(Window.orderBy(*by_score(hits)))
-    n = F.count("*").over(Window.partitionBy())
-    return hits.select("*", F.when(n == 1, F.lit(1.0)).otherwise(1 - (place - 1) / (n - 1)).alias("scaled"))
+def rank_percentile(hits: DataFrame, ranges: int = 256) -> DataFrame:
+    """scaled = 1 for the best, 0 for the worst, evenly between; 1 for a single hit.
+
+    Hits are ranked inside ranges of the score, whose bounds one aggregation
+    estimates, and a range's place is the number of hits above it. Hits of
+    equal score are in one range.
+    """
+    score = F.round("score", PLACES)
+    cuts = hits.agg(F.percentile_approx(score, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    cut = F.array(*[F.lit(c) for c in sorted(set(cuts))] or [F.lit(0.0)])
+    placed = hits.withColumn("range", F.size(F.filter(cut, lambda c: c > score)))
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # over the ranges only
+    sizes = sizes.select("range", F.coalesce(above, F.lit(0)).alias("above"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*by_score(hits))) + F.col("above")
+    scaled = F.when(F.col("total") == 1, F.lit(1.0)).otherwise(1 - (place - 1) / (F.col("total") - 1))
+    return placed.join(F.broadcast(sizes), "range").select(*hits.columns, scaled.alias("scaled"))
 
 
 def score_quantile(hits: DataFrame, q: float) -> DataFrame:

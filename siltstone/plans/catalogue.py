@@ -11,6 +11,7 @@ from siltstone.functions import spans, text
 from siltstone.functions.vectors import norm
 from siltstone.operators import composite, facets, filters, ingest, lexical, ranking, semantic
 from siltstone.operators.extract import enriched
+from siltstone.operators.extract import extract_metadata as extract_pages
 from siltstone.operators.fields import FieldDef, FieldType
 from siltstone.operators.fuzzy import fuzzy_titles
 from siltstone.plans import corpora as c
@@ -78,6 +79,12 @@ def filter_fuzzy_title(spark, d):
     return fuzzy_titles(c.items(spark, d).select("id", "title"), "title", ["smal rng", "widgit"])
 
 
+# at threshold 1 a title is near a needle where it has it, accents and case aside
+@query(with_("items", "SELECT id, title FROM items WHERE contains(lower(title), 'red') OR contains(lower(title), 'ring') OR lower(title) = 'small box'"))
+def filter_fuzzy_exact(spark, d):
+    return fuzzy_titles(c.items(spark, d).select("id", "title"), "title", ["R\u00c9D", "ri\u00f1g", "Small B\u00f6x"], 1.0)
+
+
 # -- text rules ---------------------------------------------------------------
 
 
@@ -101,6 +108,17 @@ rule("lexical_match_all", lexical.LexicalQuery(), "true")
 rule("lexical_case_sensitive", lexical.LexicalQuery(("The ", "Der "), (), True), "contains(text, 'The ') OR contains(text, 'Der ')")
 
 
+CASES = ["o\uFB03ce", "\u039F\u0394\u039F\u03A3", "Stra\u00DFe", "\u0149 dag", "STRASSE \u017Fo", "plain", "\u0130stanbul"]
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 7 IN (0, 1, 2, 4)")
+def lexical_casefold(spark, d):
+    """Full case folding: a ligature, capital and final sigma, sharp s; no match by mere lower case of the rest."""
+    word = F.element_at(F.array(*[F.lit(x) for x in CASES]), (F.col("doc_id") % 7 + 1).cast("int"))
+    docs = c.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" "), word).alias("text"))
+    return lexical.lexical_hits(docs, lexical.LexicalQuery(("OFFICE", "\u03BF\u03B4\u03BF\u03C2", "strasse"))).select(F.col("id").alias("doc_id"))
+
+
 # -- vectors ------------------------------------------------------------------
 
 
@@ -125,6 +143,14 @@ def semantic_scoped(spark, d):
     return semantic.scored(c.vectors(spark, d).join(docs.select("id"), "id", "left_semi"), c.query_vector(spark, d)).select("id", six())
 
 
+@query(with_("docs vecs qs sims", "SELECT id, round(max(score), 6) AS score FROM sims SEMI JOIN docs USING (id) WHERE n < 2 GROUP BY id"))
+def semantic_text(spark, d):
+    known = {f"query: {n}": c.query_vector(spark, d, n) for n in (0, 1)}
+    embedder = vector_cache.TextEmbedder("m", lambda texts: [known[t] for t in texts], query_prefix="query: ")
+    engine = SearchEngine(Config({n: FilterConfig(f, o) for n, (f, o) in D.items()}, weights=(1.0, 0.0)), c.docs(spark, d).drop("doc_id"), c.vectors(spark, d), embedder)
+    return engine.hits(Request(semantic_text=("0", "1"))).select("id", six())
+
+
 def three(spark, d, weighted: bool = False):
     return [semantic.VectorQuery(c.query_vector(spark, d, i), 3.0 - i if weighted else 1.0) for i in range(3)]
 
@@ -456,7 +482,7 @@ def merge_ranges_gap(spark, d):
   t AS (SELECT page_index, run, min(start_) || '-' || max(end_) AS s, min(start_) AS a FROM g WHERE end_ > start_ GROUP BY page_index, run)
   SELECT g.page_index, round(max(score), 6) AS score, (SELECT string_agg(s, '|' ORDER BY a) FROM t WHERE t.page_index = g.page_index) AS ranges, count(*)::INT AS chunks FROM g GROUP BY g.page_index"""))
 def chunks_to_pages(spark, d):
-    hits = composite.chunk_search(c.chunks(spark, d), c.query_vector(spark, d), k=1 << 30).where("score >= 0.1")
+    hits = composite.chunk_search(c.chunks(spark, d), c.query_vector(spark, d), threshold=0.1)
     pages = c.table(spark, d, "documents").select(F.col("doc_id").alias("page_index"), "text")
     return facets.chunks_to_pages(hits, pages).select("page_index", six(), F.nullif(spans.ranges_text("ranges"), F.lit("")).alias("ranges"), F.size("chunk_ids").alias("chunks"))
 
@@ -496,17 +522,60 @@ def strip_topic_number(spark, d):
     return c.table(spark, d, "documents").select("doc_id", text.strip_leading_number(F.concat(F.lit("  "), (F.col("doc_id") % 1200).cast("string"), F.lit(" - "), "source")).alias("topic"))
 
 
-@query()
+# a line opens a paragraph by what it is and what stands before it; behind an empty line, by what opened that one
+_broken = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+b AS (SELECT *, lag(line) OVER w AS before FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+o AS (SELECT *, coalesce(before IS NULL OR starts_with(line, '=== Page') OR starts_with(before, '=== Page') OR regexp_matches(before, '[.:]\s*$'), false) AS base FROM b),
+e AS (SELECT *, max(CASE WHEN before IS DISTINCT FROM '' THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o),
+p AS (SELECT *, bool_or(base) OVER (PARTITION BY doc_id, run ORDER BY i ROWS UNBOUNDED PRECEDING) AS opens FROM e),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS par FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, par ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, par) AS m FROM g),
+t AS (SELECT doc_id, par, any_value(CASE WHEN k = 1 AND starts_with(before, '=== Page') AND trim(line, ' ') = '' THEN chr(10) ELSE '' END ORDER BY i) AS gap,
+  coalesce(any_value(regexp_replace(line, '\s+$', '')) FILTER (WHERE k = 1 AND m > 1), '') || coalesce(string_agg(' ' || regexp_replace(line, '^\s+|\s+$', '', 'g'), '' ORDER BY i) FILTER (WHERE k > 1 AND k < m AND regexp_matches(line, '\S')), '')
+  || CASE WHEN any_value(m) > 1 THEN ' ' ELSE '' END || any_value(CASE WHEN m = 1 THEN line ELSE regexp_replace(line, '^\s+', '') END) FILTER (WHERE k = m) AS body FROM n GROUP BY doc_id, par)
+SELECT d.doc_id, sha256(j) AS joined FROM documents d LEFT JOIN (SELECT doc_id, string_agg(gap || body, chr(10) ORDER BY par) AS j FROM t GROUP BY doc_id) x ON x.doc_id = d.doc_id"""
+
+
+@query(_broken)
 def join_broken_lines(spark, d):
     return c.table(spark, d, "documents").select("doc_id", text.digest(text.join_broken_lines("text")).alias("joined"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'بت ' || source WHEN 1 THEN 'كتاب' ELSE source || ' ' || source END AS plain FROM documents""")
+def undiacritize(spark, d):
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ب\u064Eت\u0640\u0640 \u00A0"), "source")).when(F.col("doc_id") % 3 == 1, F.lit("ك\u0650ت\u0652\u0627ب\u064B\t")).otherwise(F.concat("source", F.lit("\u2003\n"), "source"))
+    return c.table(spark, d, "documents").select("doc_id", text.undiacritize(marked).alias("plain"))
+
+
+@query("SELECT vec_id AS row, label, len(embedding)::INT AS dim FROM embeddings")
+def chunk_vectors(spark, d):
+    e = c.table(spark, d, "embeddings")
+    out = composite.with_vectors(e.select(F.col("vec_id").alias("row"), "label"), e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("vector")))
+    return out.select("row", "label", F.size("vector").alias("dim"))
+
+
 @query()
 def extract_metadata(spark, d):
-    pages = c.table(spark, d, "documents").select("doc_id", F.concat(F.lit("BO_"), (F.col("doc_id") % 90).cast("string"), F.lit(".pdf")).alias("source_file"), F.col("doc_id").alias("source_page"), "text")
+    pages = c.table(spark, d, "documents").select("doc_id", F.concat(F.lit("BO_"), F.floor(F.col("doc_id") / 12).cast("string"), F.lit(".pdf")).alias("source_file"), F.col("doc_id").alias("source_page"), "text")
     return enriched(pages).drop("text")
 
 
+GAZETTE_PAGE = """concat('الجريدة الرسمية عدد ', 1000 + doc_id % 900, ' مكرر ', 1 + doc_id % 28, if(doc_id % 2 = 0, ' يونيو ', ' (غشت) '), 2000 + doc_id % 25, chr(10), element_at(array('ظهير', 'مرسوم', 'قرار رقم', 'قانون رقم', 'بلاغ'), cast(doc_id % 5 + 1 as int)),
+  ' رقم 2.', 10 + doc_id % 90, '.', 100 + doc_id % 800, ' يتعلق بموضوع ', element_at(array('الصحة', 'التعليم والصحة', 'شيء'), cast(doc_id % 3 + 1 as int)), chr(10), 'حرر بالرباط في ', 1 + doc_id % 27, ' دجنبر ', 1990 + doc_id % 30, chr(10), if(doc_id % 4 = 0, 'الإمضاء: فلان', if(doc_id % 4 = 1, 'رئيس الحكومة', 'نص')))"""
+
+
+@query("""SELECT doc_id, (1000 + doc_id % 900) || CASE WHEN doc_id % 2 = 0 THEN '-bis' ELSE '' END AS issue_number, make_date(2000 + doc_id % 25, CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 8 END, 1 + doc_id % 28) AS publication_date,
+  make_date(1990 + doc_id % 30, 12, 1 + doc_id % 27) AS promulgation_date, ['dahir', 'decret', 'arrete', 'loi', 'bulletin_officiel'][(doc_id % 5 + 1)::INT] AS document_type, '2.' || (10 + doc_id % 90) || '.' || (100 + doc_id % 800) AS law_number,
+  CASE doc_id % 4 WHEN 0 THEN 'فلان' WHEN 1 THEN 'رئيس الحكومة' END AS signatures, CASE doc_id % 3 WHEN 0 THEN 'public_health' WHEN 1 THEN 'public_health|education' END AS subjects,
+  ['ظهير', 'مرسوم', 'قرار رقم', 'قانون رقم', 'بلاغ'][(doc_id % 5 + 1)::INT] || ' رقم 2.' || (10 + doc_id % 90) || '.' || (100 + doc_id % 800) || ' يتعلق بموضوع ' || ['الصحة', 'التعليم والصحة', 'شيء'][(doc_id % 3 + 1)::INT] AS title FROM documents""")
+def extract_fields(spark, d):
+    """The extractor on pages in the form of a gazette's, made from doc_id."""
+    name = F.concat(F.lit("BO_"), (1000 + F.col("doc_id") % 900).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit("-bis")).otherwise(F.lit("")), F.lit("_Ar.pdf"))
+    pages = c.table(spark, d, "documents").select("doc_id", name.alias("source_file"), F.expr(GAZETTE_PAGE).alias("text"))
+    out = extract_pages(pages).select("doc_id", "found.*")
+    return out.withColumn("subjects", F.array_join("subjects", "|")).drop("mandatory_keywords")
+
+
 # -- page corpus --------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from siltstone.operators.filters import FieldFilter, apply_filters, build_filter
 from siltstone.operators.ingest import single_model
 from siltstone.operators.lexical import LexicalQuery, lexical_hits
 from siltstone.operators.ranking import PageInfo, merged, page_of
-from siltstone.operators.semantic import PLACES, VectorQuery, multi_search
+from siltstone.operators.semantic import PLACES, VectorQuery, VectorStore, multi_search
 from siltstone.plans.config import Config
 
 log = logging.getLogger("siltstone.search")
@@ -84,20 +85,20 @@ class Result:
 
 
 class SearchEngine:
-    """docs: id, text and the declared fields; vectors: id, vector, model_id.
+    """docs: id, text and the declared fields; vectors: a table of id, vector, model_id, or a VectorStore.
 
     Of documents that share an id the last one's metadata counts; the ingestion
     that should come before has no such ids.
     """
 
-    def __init__(self, config: Config, docs: DataFrame, vectors: DataFrame | None = None, embedder: Any = None, overrides: dict[str, type[FieldFilter]] | None = None):
+    def __init__(self, config: Config, docs: DataFrame, vectors: DataFrame | VectorStore | None = None, embedder: Any = None, overrides: dict[str, type[FieldFilter]] | None = None):
         self.config, self.docs, self.vectors, self.embedder = config, docs, vectors, embedder
         absent = [f.name for f in config.fields if f.name not in docs.columns]
         if absent:
             raise BadConfig(f"the documents lack {absent}")
         self.filters = build_filters({n: (f.field, f.operation) for n, f in config.filters.items()}, overrides)
         self.model = None
-        if vectors is not None and "model_id" in vectors.columns:
+        if isinstance(vectors, DataFrame) and "model_id" in vectors.columns:
             try:
                 self.model = single_model(vectors)
             except ValueError as e:
@@ -131,8 +132,7 @@ class SearchEngine:
                 raise BadQuery("vector search is not enabled")
             if self.vectors is None:
                 raise BadConfig("there are no vectors")
-            scope = self.vectors.join(docs.select("id"), "id", "left_semi") if request.filters else self.vectors.join(self.docs.select("id"), "id", "left_semi")
-            semantic = multi_search(scope, queries, self.config.combination)
+            semantic = multi_search(self.vectors, queries, self.config.combination, scope=docs if request.filters else self.docs)
         if request.lexical is not None:
             if not self.config.lexical_enabled:
                 raise BadQuery("text search is not enabled")
@@ -152,13 +152,19 @@ class SearchEngine:
     # -- answers -------------------------------------------------------------
 
     def search(self, request: Request) -> Result:
+        """One page and the size of the whole result; the hits (ids and scores) are computed once for both."""
         with stage("search", page=request.page):
-            hits = self.hits(request)
-            total = hits.count()
-            if not total:
-                log.info("search has no results")
-            size = min(request.page_size or self.config.default_page_size, self.config.max_page_size)
-            return Result(self.page(hits, request.page, size), PageInfo(request.page, size, total))
+            hits = self.hits(request).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                total = hits.count()
+                if not total:
+                    log.info("search has no results")
+                size = min(request.page_size or self.config.default_page_size, self.config.max_page_size)
+                page = self.page(hits, request.page, size)
+                rows = page.collect()  # no more than max_page_size
+            finally:
+                hits.unpersist()
+            return Result(page.sparkSession.createDataFrame(rows, page.schema), PageInfo(request.page, size, total))
 
     def facets(self, names: Sequence[str] | None = None) -> DataFrame:
         wanted = self.config.filters if names is None else {n: self._filter(n) for n in names}
@@ -178,7 +184,7 @@ class SearchEngine:
         return {"semantic": c.semantic_enabled and self.vectors is not None, "semantic_text": c.semantic_enabled and self.embedder is not None, "lexical": c.lexical_enabled}
 
 
-def build_engine(config: Config, ingestion, vectors: DataFrame | None = None, embedder: Any = None, overrides: dict[str, type[FieldFilter]] | None = None) -> SearchEngine:
+def build_engine(config: Config, ingestion, vectors: DataFrame | VectorStore | None = None, embedder: Any = None, overrides: dict[str, type[FieldFilter]] | None = None) -> SearchEngine:
     """From an ingestion, which must be clean."""
     ingestion.require_clean()
     return SearchEngine(config, ingestion.documents, vectors, embedder, overrides)

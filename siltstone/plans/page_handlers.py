@@ -16,7 +16,8 @@ from siltstone.operators import composite, facets
 from siltstone.operators.ranking import page_of
 from siltstone.operators.semantic import AutoTune
 from siltstone.plans.handlers import plain
-from siltstone.sources.writers import inside
+from siltstone.plans.subsets import Subsets
+from siltstone.sources.writers import inside, write_page_texts
 
 ITEM = ("filename", "page_number", "subjects", "signatures", "doctype", "lawnumber", "date", "path_rel")
 # The keys of a filter request and their older names.
@@ -48,7 +49,22 @@ class PageHandlers:
     """pages: row_idx and the columns that ``composite.prepare`` uses; chunks and embedder serve vector search."""
 
     def __init__(self, pages: DataFrame, chunks: DataFrame | None = None, embedder: Any = None, root: str = ".", tune: AutoTune = AutoTune()):
-        self.pages, self.chunks, self.embedder, self.root, self.tune = composite.prepare(pages), chunks, embedder, root, tune
+        self.chunks, self.embedder, self.root, self.tune = chunks, embedder, root, tune
+        self.subsets, self.version = Subsets(), 0
+        self.load(pages)
+
+    def load(self, pages: DataFrame) -> None:
+        """Serve these pages from now on, as the next version of the corpus; kept subsets of the old ones go."""
+        self.subsets.clear()
+        self.pages = composite.prepare(pages)
+        self.version += 1
+
+    def _valid(self, filters: Mapping[str, Any]) -> DataFrame:
+        """The pages that satisfy the filters; their row ids are kept for the next request with the same ones."""
+        if not filters:
+            return self.pages
+        rows = self.subsets.of(filters, lambda: composite.valid_pages(self.pages, filters).select("row_idx"))
+        return self.pages.join(rows, "row_idx", "left_semi")
 
     # -- search --------------------------------------------------------------
 
@@ -59,7 +75,7 @@ class PageHandlers:
         if not queries and not filters:
             return 400, {"error": "Missing query or filters"}
         page, size = whole(raw.get("page"), 1, 1), whole(raw.get("page_size"), 30, 1, 200)
-        valid = composite.valid_pages(self.pages, filters)
+        valid = self._valid(filters)
         if queries and semantic:
             if self.chunks is None or self.embedder is None:
                 return 500, {"error": "there are no chunk vectors"}
@@ -142,13 +158,20 @@ class PageHandlers:
         rows = [plain(r.asDict()) for r in facets.document_summary(self.pages).orderBy(F.lower("filename"), "filename").collect()]
         return 200, {"documents": rows, "total_documents": len(rows), "total_pages": sum(r["pages"] for r in rows)}
 
-    def export(self, raw: Mapping[str, Any]) -> tuple[int, dict]:
-        """All hits of a text search or of filters, a text for each file."""
+    def export(self, raw: Mapping[str, Any], target: str | None = None) -> tuple[int, dict]:
+        """All hits of a text search or of filters, a text for each file.
+
+        They are written to ``target`` by the executors; without it the texts
+        are the answer itself, so the caller has to hold them.
+        """
         queries, filters = composite.parse_queries(raw.get("queries") or raw.get("query") or "", False), filters_of(raw)
         if not queries and not filters:
             return 400, {"error": "Missing query or filters"}
-        valid = composite.valid_pages(self.pages, filters)
+        valid = self._valid(filters)
         hits = composite.substring_or(valid, queries) if queries else valid
+        if target is not None:
+            write_page_texts(hits, target)
+            return 200, {"written": target}
         return 200, {"documents": [plain(r.asDict()) for r in composite.export_text(hits).collect()]}
 
     def update(self, raw: Mapping[str, Any], target: str) -> tuple[int, dict]:
@@ -163,5 +186,5 @@ class PageHandlers:
             n = composite.update_metadata(self.pages.select(*[c for c in self.pages.columns if not c.endswith(("_norm", "_ts", "_rel"))]), name, changes, target)
         except ValueError as e:
             return 400, {"error": str(e)}
-        self.pages = composite.prepare(self.pages.sparkSession.read.parquet(target))
+        self.load(self.pages.sparkSession.read.parquet(target))
         return 200, {"updated": n}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Callable, Iterable
+from contextlib import closing
 from pathlib import Path
 
 import pandas as pd
@@ -48,20 +49,39 @@ def from_jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, i
     return read.load()
 
 
+#: Rows of a SQLite table that a task reads.
+SQLITE_ROWS = 20_000
+
+
 def from_sqlite(spark: SparkSession, path: str, table: str = "documents") -> DataFrame:
-    """id, text, metadata_json rows of a SQLite file on the driver, as raw records. Bad JSON names its row."""
+    """id, text, metadata_json rows of a SQLite file, as raw records. Bad JSON names its row.
+
+    The driver reads the range of row ids only; tasks read the rows, a range
+    each, so executors have to see the file at the same path. A row's ordinal
+    is its row id, counted from the first.
+    """
     if not Path(path).is_file():
         raise FileNotFoundError(path)
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        if not table.isidentifier():
-            raise ValueError(f"no table name: {table}")
-        rows = pd.read_sql_query(f"SELECT id, text, metadata_json FROM {table} ORDER BY rowid", db)
-    frame = spark.createDataFrame(list(rows.itertuples(name=None)), "ordinal long, id string, text string, metadata_json string")
+    if not table.isidentifier():
+        raise ValueError(f"no table name: {table}")
+    uri = f"file:{path}?mode=ro"
+    with closing(sqlite3.connect(uri, uri=True)) as db:
+        low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {table}").fetchone()
+
+    def read(batches):
+        for starts in batches:
+            with closing(sqlite3.connect(uri, uri=True)) as db:
+                for start in starts["id"].tolist():
+                    rows = db.execute(f"SELECT rowid, id, text, metadata_json FROM {table} WHERE rowid BETWEEN ? AND ?", (start, min(start + SQLITE_ROWS - 1, high)))
+                    yield pd.DataFrame(rows.fetchall(), columns=["ordinal", "id", "text", "metadata_json"])
+
+    parts = max(1, -(-(high - low + 1) // SQLITE_ROWS))
+    frame = spark.range(low, high + 1, SQLITE_ROWS, parts).mapInPandas(read, "ordinal long, id string, text string, metadata_json string")
     bad = frame.where(F.col("metadata_json").isNotNull() & F.try_parse_json("metadata_json").isNull()).select("id").head(1)
     if bad:
         raise ValueError(f"metadata of row {bad[0].id} is not JSON")
     meta = F.coalesce("metadata_json", F.lit("{}"))
-    return frame.select("ordinal", F.concat(F.lit('{"id":'), F.to_json(F.struct("id"), {"ignoreNullFields": "false"}).substr(F.lit(7), F.length(F.to_json(F.struct("id"), {"ignoreNullFields": "false"})) - 7), F.lit(',"text":'), _json_text("text"), F.lit(',"metadata":'), meta, F.lit("}")).alias("raw"))
+    return frame.select((F.col("ordinal") - low).alias("ordinal"), F.concat(F.lit('{"id":'), _json_text("id"), F.lit(',"text":'), _json_text("text"), F.lit(',"metadata":'), meta, F.lit("}")).alias("raw"))
 
 
 def _json_text(column: str):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -24,6 +26,59 @@ class Embedder(Protocol):
     def queries(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+@dataclass(frozen=True)
+class TextEmbedder:
+    """An Embedder around any function from texts to vectors: prefixes, batches, vectors of unit length.
+
+    ``encode`` travels to the executors, so it has to be picklable.
+    """
+
+    model_id: str
+    encode: Callable[[list[str]], Sequence[Sequence[float]]]
+    document_prefix: str = ""
+    query_prefix: str = ""
+    normalize: bool = True
+    batch_size: int = 32
+
+    def documents(self, texts: Sequence[str]) -> list[list[float]]:
+        return self._run(self.document_prefix, texts)
+
+    def queries(self, texts: Sequence[str]) -> list[list[float]]:
+        return self._run(self.query_prefix, texts)
+
+    def _run(self, prefix: str, texts: Sequence[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for a in range(0, len(texts), self.batch_size):
+            part = [prefix + t for t in texts[a : a + self.batch_size]]
+            made = [[float(x) for x in v] for v in self.encode(part)]
+            if len(made) != len(part):
+                raise ValueError(f"{len(made)} vectors of {len(part)} texts")
+            out += made
+        return [_unit(v) for v in out] if self.normalize else out
+
+
+def _unit(v: list[float]) -> list[float]:
+    n = math.sqrt(math.fsum(x * x for x in v))
+    return [x / n for x in v] if n else v
+
+
+@dataclass
+class ModelByName:
+    """``encode`` of a sentence-transformers model, which is loaded once in each process that needs it."""
+
+    name: str
+
+    def __call__(self, texts: list[str]) -> Sequence[Sequence[float]]:
+        from sentence_transformers import SentenceTransformer
+
+        if self.name not in _models:
+            _models[self.name] = SentenceTransformer(self.name)
+        return _models[self.name].encode(texts).tolist()
+
+
+_models: dict[str, object] = {}
+
+
 def cache_hits(docs: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
     """id, vector of the documents whose id, text digest and model agree with an entry."""
     now = docs.select("id", digest("text").alias("text_sha256"))

@@ -1,6 +1,7 @@
 import json
 import sqlite3
 import sys
+import time
 import unicodedata
 
 import pytest
@@ -322,3 +323,133 @@ def test_engine_modules_name_no_dataset():
         for f in (top / part).glob("*.py"):
             source = f.read_text()
             assert not any(w in source for w in ("doc_id", "o_orderkey", "p_partkey", "vec_id", "siltstone.llm")), f
+
+
+# -- text over all of Unicode, plans for scale ---------------------------------
+
+
+def test_fold_is_full_case_folding(spark):
+    """Every letter that both Python and the JVM know; a few newer ones are known to one only."""
+    letters = [chr(n) for n in range(1, 0x110000) if not 0xD800 <= n < 0xE000 and (chr(n).casefold() != chr(n) or chr(n).upper() != chr(n))]
+    got = {r.c: r.f for r in spark.createDataFrame([(c,) for c in letters], "c string").select("c", text.fold("c").alias("f")).collect()}
+    off = [c for c in letters if got[c] != c.casefold()]
+    jvm = spark._jvm.java.lang.Character
+    assert not [c for c in off if jvm.isDefined(ord(c)) and jvm.isLetter(ord(c)) and jvm.toLowerCase(ord(c)) != ord(c)], off
+    assert len(off) < 120 and all(unicodedata.name(c, "") for c in off)
+    whole = "o\uFB03ce \u1F88\u0390 STRA\u1E9EE \u039F\u0394\u039F\u03A3 \u0149 \u017F"
+    assert spark.range(1).select(text.fold(F.lit(whole))).first()[0] == whole.casefold() == text.fold_text(whole)
+
+
+def test_strip_is_linear(spark):
+    """A million blanks inside a text take no time to speak of."""
+    began = time.perf_counter()
+    row = spark.range(1).select(F.concat(F.lit("\u00A0 a"), F.repeat(F.lit(" "), 1_000_000), F.lit("b\u2003\x85\t")).alias("t")).select(text.strip("t").alias("s"), text.normalize_arabic("t").alias("n"), text.squeeze("t").alias("q")).first()
+    assert len(row.s) == 1_000_002 and row.n == row.q == "a b" and time.perf_counter() - began < 10
+
+
+BLANK_OR_NOT = "".join(chr(n) for n in range(0x110000) if chr(n).isspace() and not 0xD800 <= n < 0xE000)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet=BLANK_OR_NOT + "aB\u0625\u0649\u0629\u064B\u0640\u0670\u06DD\u0663-/._:!\u00DFx\u0300\u4E2D", max_size=20), min_size=1, max_size=40))
+def test_text_forms_agree_with_python(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip("t").alias("s"), text.normalize_arabic("t").alias("n"), text.undiacritize("t").alias("u")).collect()
+    for r in rows:
+        assert r.s == r.t.strip() and r.n == normalized_by_hand(r.t)
+        assert r.u == " ".join("".join(c for c in r.t if not ("\u064B" <= c <= "\u0652" or c == "\u0640")).split())
+
+
+def normalized_by_hand(t):
+    t = "".join(c for c in t.strip() if not ("\u064B" <= c <= "\u065F" or c in "\u0670\u0640" or "\u06D6" <= c <= "\u06ED"))
+    t = t.translate(str.maketrans("\u0625\u0623\u0622\u0649\u0629٠١٢٣٤٥٦٧٨٩", "\u0627\u0627\u0627\u064A\u06470123456789")).casefold()
+    return " ".join("".join(c if c in "-/._:" or "\u0600" <= c <= "\u06FF" or c.isascii() and c.isalnum() else " " for c in t).split())
+
+
+def test_dates_in_text():
+    day = lambda s: [(str(d), s[a:b]) for a, b, d in extract.dated(s)]
+    assert day("في 9 يونيو 2020.") == [("2020-06-09", "9 يونيو 2020")]
+    assert day("2020 (غشت) 31") == [("2020-08-31", "2020 (غشت) 31")] and day("(5)-ماي-1999") == [("1999-05-05", "5)-ماي-1999")]
+    assert day("31 فبراير 2020") == day("يونيو 2020") == day("9 يونيو، 2020") == day("9 يونيو 20") == []
+    assert day("9 يونيو 2020 ثم 1 يناير 2021") == [("2020-06-09", "9 يونيو 2020"), ("2021-01-01", "1 يناير 2021")]
+    assert [d for d, _ in day("5 يناير 2020 فبراير 3")] == ["2020-01-05", "2020-02-03"]
+    assert extract.dated("no month") == []
+
+
+def test_extraction_rules():
+    one = lambda s, name="x.pdf": extract.extracted(s, name, "other")
+    assert one("الإمضاء: فلان\nالإمضاء: فلان\nوقعه بالعطف علان.")["signatures"] == "فلان; علان"
+    assert one("الإمضاء:\nرئيس الحكومة")["signatures"] == "رئيس الحكومة" and one("محمد بن الحسن")["signatures"] == "الملك" and one("")["signatures"] is None
+    assert one("الجريدة الرسمية مرسوم رقم 1\nقرار\nيتعلق بكذا")["title"] == "يتعلق بكذا" and one("مرسوم خاص بكذا وكذا.")["title"] == "مرسوم خاص بكذا وكذا"
+    assert one("1.2 " + "x " * 200 + "مرسوم رقم 2.20.406")["law_number"] == "2.20.406" and one("a 3.4 b")["law_number"] == "3.4" and one("12 a")["law_number"] is None
+    assert one("x", "dir/BO_77.pdf")["issue_number"] == "77" and one("x")["document_type"] == "other"
+
+
+def test_files_of_page_texts(spark, tmp_path):
+    rows = [(i, f"f{i % 3}.pdf", str(i // 3), f"text {i}") for i in range(60)] + [(99, "f0.pdf", "x", None)]
+    df = spark.createDataFrame(rows, "row_idx int, filename string, page_number string, text string").repartition(7)
+    writers.write_page_texts(df, str(tmp_path / "t"))
+    for k in range(3):
+        parts = sorted((tmp_path / "t" / f"filename=f{k}.pdf").glob("part-*"))
+        assert "".join(p.read_text() for p in parts) == "".join(f"{t or ''}\n\n" for i, f, _, t in sorted(rows, key=lambda r: r[0]) if f == f"f{k}.pdf")
+
+
+def test_sqlite_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "SQLITE_ROWS", 4)
+    path = str(tmp_path / "d.sqlite")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE documents (id TEXT, text TEXT, metadata_json TEXT)")
+        db.executemany("INSERT INTO documents VALUES (?,?,?)", [(f"d{i}", None if i == 5 else f"t{i}", '{"n":1}') for i in range(30)])
+        db.execute("DELETE FROM documents WHERE rowid BETWEEN 9 AND 16")
+    out = readers.from_sqlite(spark, path)
+    assert out.rdd.getNumPartitions() == 8
+    rows = {r.ordinal: json.loads(r.raw) for r in out.collect()}
+    assert {k: v["id"] for k, v in rows.items()} == {i: f"d{i}" for i in range(30) if not 8 <= i < 16} and rows[5]["text"] is None
+    with sqlite3.connect(path) as db:
+        db.execute("DELETE FROM documents")
+    assert readers.from_sqlite(spark, path).count() == 0
+
+
+def test_subsets_are_kept_and_dropped(spark, tmp_path):
+    from siltstone.plans.page_handlers import PageHandlers
+    from siltstone.plans.subsets import Subsets
+
+    kept = Subsets(2)
+    made = []
+
+    def make(n):
+        made.append(n)
+        return spark.range(n)
+
+    for f in ({"a": 1, "b": 2}, {"b": 2, "a": 1}, {"c": 1}, {"a": 1, "b": 2}, {"d": 1}, {"c": 1}):
+        kept.of(f, lambda: make(len(made)))
+    assert made == [0, 1, 2, 3] and len(kept.kept) == 2
+    kept.clear()
+    raw = spark.createDataFrame(PAGES, "row_idx int, filename string, text string, page_number string, doctype string, lawnumber string, subjects string, signatures string, date string")
+    h = PageHandlers(raw)
+    first, again = (h.search({"doctype": "loi"})[1] for _ in range(2))
+    assert first == again and len(h.subsets.kept) == 1 and h.version == 1
+    assert h.update({"filename": "B.pdf", "doctype": "zz"}, str(tmp_path / "next")) == (200, {"updated": 2})
+    assert h.version == 2 and not h.subsets.kept and h.search({"doctype": "loi"})[1]["total_results"] == 0
+    assert h.export({"query": "second"}, str(tmp_path / "out")) == (200, {"written": str(tmp_path / "out")})
+
+
+def test_text_embedder():
+    seen = []
+
+    def encode(texts):
+        seen.append(texts)
+        return [[3.0, 4.0] if t.startswith("q: ") else [0.0, 0.0] for t in texts]
+
+    e = vector_cache.TextEmbedder("m", encode, "d: ", "q: ", batch_size=2)
+    assert e.queries(["a", "b", "c"]) == [[0.6, 0.8]] * 3 and e.documents(["x"]) == [[0.0, 0.0]]
+    assert seen == [["q: a", "q: b"], ["q: c"], ["d: x"]]
+    assert vector_cache.TextEmbedder("m", encode, query_prefix="q: ", normalize=False).queries(["a"]) == [[3.0, 4.0]]
+    with pytest.raises(ValueError):
+        vector_cache.TextEmbedder("m", lambda t: []).queries(["a"])
+
+
+def test_chunks_over_a_threshold_are_not_sorted(spark):
+    chunks = spark.createDataFrame([(f"c{i}", i, [(0, 1)], [float(i)]) for i in range(9)], "chunk_id string, page_index int, source_ranges array<struct<start:int,end:int>>, vector array<double>")
+    out = composite.chunk_search(chunks, [1.0], threshold=4.0)
+    assert sorted(r.chunk_id for r in out.collect()) == ["c4", "c5", "c6", "c7", "c8"]
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString() and "Join" not in out._jdf.queryExecution().executedPlan().toString()

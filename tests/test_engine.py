@@ -121,6 +121,23 @@ def test_several_queries(spark):
         semantic.combination("none")
 
 
+def test_any_vector_store_will_do(spark):
+    """The engine asks a store for scores; what stands behind it is its own affair."""
+
+    class Fixed:
+        def scores(self, queries, scope=None):
+            found = spark.createDataFrame([(n, f"item-{k}", 1.0 / k) for n in range(len(queries)) for k in (1, 2, 3)], "query int, id string, score double")
+            return found if scope is None else found.join(scope.select("id"), "id", "left_semi")
+
+    hits = semantic.multi_search(Fixed(), [semantic.VectorQuery((1.0,)), semantic.VectorQuery((0.0,))], top_k=2)
+    assert [(r.id, r.score) for r in hits.collect()] == [("item-1", 1.0), ("item-2", 0.5)]
+    docs = spark.createDataFrame([("item-2", "x"), ("item-3", "y")], "id string, text string")
+    from siltstone.plans.config import Config
+
+    engine = SearchEngine(Config({}), docs, Fixed())
+    assert sorted(r.id for r in engine.hits(Request((semantic.VectorQuery((1.0,)),))).collect()) == ["item-2", "item-3"]
+
+
 def test_auto_tune_walk():
     tune = semantic.AutoTune()
     grid = tune.grid()
@@ -134,6 +151,12 @@ def test_scaling(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 5.0)], "id string, score double")
     assert [r.scaled for r in semantic.scale_minmax(df).orderBy("id").collect()] == [0.0, 0.5, 1.0]
     assert [r.scaled for r in semantic.rank_percentile(df).orderBy("id").collect()] == [0.0, 0.5, 1.0]
+    assert [r.scaled for r in semantic.rank_percentile(df.where("id = 'a'")).collect()] == [1.0] and semantic.rank_percentile(df.where("false")).count() == 0
+    many = spark.createDataFrame([(f"k{i:03}", float(i * 7 % 50) / 10) for i in range(300)], "id string, score double")
+    order = sorted(many.collect(), key=lambda r: (-r.score, r.id))
+    for ranges in (2, 5, 256):
+        got = {r.id: r.scaled for r in semantic.rank_percentile(many, ranges).collect()}
+        assert got == {r.id: pytest.approx(1 - n / 299) for n, r in enumerate(order)}
     same = df.withColumn("score", F.lit(2.0))
     assert {r.scaled for r in semantic.scale_minmax(same).collect()} == {1.0}
     assert {r.scaled for r in semantic.scale_zsigmoid(same).collect()} == {1.0}
