@@ -306,10 +306,39 @@ class Vocabulary:
         ends = np.concatenate([[0], np.cumsum(count)])
         return ids, ends[np.searchsorted(owner, np.arange(len(offs)))]
 
+    def encode_alone(self, text: str) -> np.ndarray:
+        """ids of one text, its words told apart by their characters and not by a hash."""
+        parts = self.pieces(text)
+        tokens = list(set(parts))
+        merged = dict(zip(tokens, self.merge([t.encode() for t in tokens])))
+        for t, i in self.special.items():
+            merged[t] = np.array([i], "<u4").tobytes()
+        return np.frombuffer(b"".join(merged[p] for p in parts), "<u4")
+
+    def round_trip(self, data: np.ndarray, offs: np.ndarray, known: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, list[str | bytes]]:
+        """(ids, offsets, decoded texts), exact whatever the hashes of words do.
+
+        Ids stand for the bytes of their text, so a word that was taken for
+        another one of its hash shows when the ids are decoded; such a text is
+        encoded alone.
+        """
+        ids, at = self.encode_slice(data, offs, known)
+        texts = self.decode_slice(ids, at)
+        buf, ends = data.tobytes(), offs.tolist()
+        raw = [buf[a:b] for a, b in zip(ends, ends[1:])]
+        wrong = [n for n, (t, r) in enumerate(zip(texts, raw)) if t != r]
+        if wrong:
+            each = [ids[a:b] for a, b in zip(at, at[1:])]
+            for n in wrong:
+                each[n] = self.encode_alone(raw[n].decode())
+            ids, at = np.concatenate(each), np.concatenate([[0], np.cumsum(list(map(len, each)))])
+            texts = self.decode_slice(ids, at)
+        return ids, at, texts
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         raw = [t.encode() for t in texts]
         offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        ids, at = self.encode_slice(np.frombuffer(b"".join(raw), np.uint8), offs, {})
+        ids, at, _ = self.round_trip(np.frombuffer(b"".join(raw), np.uint8), offs, {})
         return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
 
     def decode_slice(self, ids: np.ndarray, at: np.ndarray) -> list[str | bytes]:
@@ -376,7 +405,7 @@ POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words; those of over 4096 bytes are not told apart safely."""
+    """64-bit hashes of the words; `Vocabulary.round_trip` finds out where two words agree."""
     place = np.minimum(np.arange(len(data), dtype=np.int64) - np.repeat(start, length), len(POWERS) - 1)
     h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * POWERS[place], start)
     h ^= h >> np.uint64(32)
@@ -399,8 +428,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, text_col: str = "text", wit
         vocab, known = shared.value, {}
 
         def run(part: pa.RecordBatch):
-            ids, at = vocab.encode_slice(*flat_text(part.column(text_col)), known)
-            texts = vocab.decode_slice(ids, at)
+            ids, at, texts = vocab.round_trip(*flat_text(part.column(text_col)), known)
             sha = lambda b: hashlib.sha256(b).hexdigest()
             buf = ids.astype("<u4", copy=False).tobytes()
             spans = [(4 * a, 4 * b) for a, b in zip(at.tolist(), at[1:].tolist())]

@@ -9,8 +9,10 @@ goes everywhere else, so that text which exists only in copies is not lost;
 with ``keep_first=False`` it goes everywhere.
 
 Only DataFrame functions are used. A line hash is a pair of 64-bit hashes.
-Lines are compared without spaces at their ends; those shorter than
-``min_chars`` are never boilerplate.
+Lines end at a line feed and are compared without spaces at their ends (a
+carriage return or tab there makes another line); those shorter than
+``min_chars`` are never boilerplate. The joins on line hashes have one side
+with a row a line; where the other is skewed, adaptive execution splits it.
 
 Edge cases: null text has no lines and stays null; empty lines stay; a null
 site counts as one site; a null doc_id comes after all others; rows that
@@ -24,15 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import written
-
-NO_ID = 2**63 - 1
+from siltstone.llm.shared import known_id, written
 
 
 def wide_lines(lines: DataFrame, min_sites: int, margin: float, lg_k: int) -> DataFrame:
     """h1, h2 and first (doc, place) of the lines that at least ``min_sites`` sites have."""
     spread = lines.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min(F.struct("doc", "row", "place")).alias("first"), F.count("*").alias("n")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min(F.struct("nil", "doc", "row", "place")).alias("first"), F.count("*").alias("n")
     )
     low, high = min_sites * (1 - margin), min_sites * (1 + margin)
     spread = written(spread.where((F.col("n") >= min_sites) & (F.col("sites") >= low)).select("h1", "h2", "sites", "first"), "spread")
@@ -54,21 +54,21 @@ def drop_shared_lines(
 ) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and n_lines, n_removed."""
     row = F.xxhash64(text_col)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    doc, nil = known_id(docs, id_col), F.col(id_col).isNull()
     split = docs.where(F.col(text_col).isNotNull()).select(
-        doc.alias("doc"), row.alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n")).alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("place", "line")
+        nil.alias("nil"), doc.alias("doc"), row.alias("row"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n")).alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("place", "line")
     )
     split = split.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
-    lines = split.select("doc", "row", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    lines = split.select("nil", "doc", "row", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
     wide = written(wide_lines(lines, min_sites, margin, lg_k), "wide")
     hits = lines.join(wide, ["h1", "h2"])
     if keep_first:
-        hits = hits.where(~(F.struct("doc", "row", "place") == F.col("first")))
+        hits = hits.where(~(F.struct("nil", "doc", "row", "place") == F.col("first")))
     # where equal rows have a doc_id in common each place is listed once for all of them
-    gone = hits.groupBy("doc", "row").agg(F.collect_set("place").alias("__gone"))
+    gone = hits.groupBy("nil", "doc", "row").agg(F.collect_set("place").alias("__gone"))
     plain = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed") and c not in (id_col, text_col, site_col)])
     names = plain.columns
-    joined = plain.withColumns({"__doc": doc, "__row": row}).join(gone.withColumnsRenamed({"doc": "__doc", "row": "__row"}), ["__doc", "__row"], "left")
+    joined = plain.withColumns({"__nil": nil, "__doc": doc, "__row": row}).join(gone.withColumnsRenamed({c: f"__{c}" for c in ("nil", "doc", "row")}), ["__nil", "__doc", "__row"], "left")
     parts = F.split(text_col, "\n", -1)
     left = F.filter(F.transform(parts, lambda line, i: F.when(~F.array_contains("__gone", i), line)), lambda line: line.isNotNull())
     kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))

@@ -2,7 +2,8 @@
 
 Every document gets a hash-random key. Within each source the keys are sorted
 by ranges: the leading key bits name a range, so that ranges hold about equal
-shares of any source and a source of any size is spread over many tasks. Sizes
+shares of any source and a source of any size is spread over many tasks; rows
+of one key, too many for a range, are cut on by size and text hash. Sizes
 are summed per range, the sums of the ranges before it are a range's offset,
 and a window inside the range gives each document its exact prefix sum. A
 source's budget is then cut to the word: whole epochs first, and of one more
@@ -28,7 +29,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import written
+from siltstone.llm.shared import known_id, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
@@ -76,9 +77,20 @@ def mix(
     base = base.withColumn("range", F.shiftright("key", KEY_BITS - bits).cast("int"))
     # nulls join like values
     base = base.withColumn("nil", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
-    at = ["nil", "source", "range"]
+    # a key that very many rows share, as those without a doc_id do, is a run of ranges of its own:
+    # rows there are ordered by size and text hash, so these cut it further
+    heavy = base.groupBy("range").count().where(F.col("count") > 4 * rows_per_range).select("range")
+    hot = base.join(heavy, "range", "left_semi").groupBy("range", "key").count().where(F.col("count") > rows_per_range)
+    hot = hot.groupBy("range").agg(F.sort_array(F.collect_list("key")).alias("hot"))
+    base = base.join(hot, "range", "left")
+    big = F.coalesce(F.array_contains("hot", F.col("key")), F.lit(False))
+    step = F.coalesce(F.size(F.filter("hot", lambda k: k < F.col("key"))), F.lit(0)) * 2 + big.cast("int")
+    cuts = {"step": step, "of_size": F.when(big, F.col("size")).otherwise(F.lit(0)), "of_text": F.when(big, F.shiftright("row", 56)).otherwise(F.lit(0))}
+    base = base.withColumns(cuts).drop("hot")
+    place = ["range", "step", "of_size", "of_text"]
+    at = ["nil", "source", *place]
     ranges = base.groupBy(*at).agg(F.sum("size").alias("range_size"))
-    in_order = Window.partitionBy("nil", "source").orderBy("range")
+    in_order = Window.partitionBy("nil", "source").orderBy(*place)
     ranges = ranges.withColumn("offset", F.sum("range_size").over(in_order) - F.col("range_size"))
     per_source = ranges.groupBy("nil", "source").agg(F.sum("range_size").alias("source_size"))
     named = per_source.select(F.when(~F.col("nil"), F.col("source")).alias("source"), "source_size")
@@ -103,9 +115,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     as one, as often as all of them together.
     """
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    keys = {"__doc": F.coalesce(F.col("doc_id"), F.lit(0)), "__nil": F.col("doc_id").isNull(), "__row": F.col("row")}
+    keys = {"__doc": known_id(plan, "doc_id"), "__nil": F.col("doc_id").isNull(), "__row": F.col("row")}
     plan = plan.where("taken > 0").withColumns(keys).groupBy("__doc", "__nil", "__row").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col), F.lit(0)), "__nil": F.col(id_col).isNull(), "__row": F.xxhash64(text_col)})
+    keyed = docs.withColumns({"__doc": known_id(docs, id_col), "__nil": F.col(id_col).isNull(), "__row": F.xxhash64(text_col)})
     keyed = keyed.join(plan.where("__times > 0"), ["__doc", "__nil", "__row"]).dropDuplicates(["__doc", "__nil", "__row"])
     return keyed.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).drop("__n")
 

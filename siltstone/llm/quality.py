@@ -3,10 +3,8 @@
 A text is cut into chunks of eight bytes, a new one every four bytes, to its
 very end. Each chunk's bytes are embedded, learned filters are applied, each
 filter's response is max-pooled over all chunks, and a logistic unit combines
-the pooled responses into one probability. One more input tells how many of a
-chunk's neighbours repeat bytes of shortly before, since a filter of eight
-bytes can't see a repeated word. Filters, embeddings and the unit are learned
-together by Adam from a bounded sample of labelled documents.
+the pooled responses into one probability. Filters, embeddings and the unit
+are learned together by Adam from a bounded sample of labelled documents.
 
 Edge cases: null and empty texts are one chunk of zero bytes and get a score;
 texts of any length are read whole, a few megabytes at a time; repeated rows
@@ -25,8 +23,6 @@ from pyspark.sql import types as T
 from siltstone.llm.batches import append_columns, flat_text
 
 STEP, DIMS, FILTERS = 4, 6, 24
-#: Distances at which repeats are looked for, and the chunks over which they are averaged.
-LAGS, SPAN = range(2, 33), 12
 #: Blocks whose responses are held at once.
 ROWS = 1 << 15
 
@@ -38,7 +34,7 @@ class ByteNet:
         rng = np.random.default_rng(seed)
         self.embed = rng.normal(0, 0.5, (256, DIMS)).astype(np.float32)
         self.filters = rng.normal(0, 0.25, (2 * STEP * DIMS, FILTERS)).astype(np.float32)
-        self.unit = np.zeros(FILTERS + 1, np.float32)
+        self.unit = np.zeros(FILTERS, np.float32)
         self.bias = np.zeros(FILTERS, np.float32)
         self.shift = np.zeros(1, np.float32)
         self.constant: float | None = None
@@ -73,8 +69,7 @@ class ByteNet:
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(offs) - 1, self.constant)
-        padded, first, blocks = chunks(data, offs)
-        feature = np.concatenate([self.pooled(padded, first, blocks), echoes(padded, first, blocks)[:, None]], 1)
+        feature = self.pooled(*chunks(data, offs))
         # single-precision products differ in their last bits with a text's place in its batch
         return np.round(1 / (1 + np.exp(-(feature @ self.unit + self.shift[0]).astype(np.float64))), 6)
 
@@ -89,43 +84,17 @@ def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return padded, first, blocks
 
 
-def echoes(padded: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """The largest share, over SPAN chunks in a row, of chunks that repeat the bytes of shortly before."""
-    if not len(first):
-        return np.zeros(0, np.float32)
-    far, n = LAGS[-1], len(padded) // STEP
-    room = np.zeros(len(padded) + far + 8, np.uint8)
-    room[far : far + len(padded)] = padded
-    last = first + blocks - 1
-    out = np.zeros(len(first), np.float32)
-    for a in range(0, n, ROWS):
-        b, e = min(a + ROWS, n), min(a + ROWS + SPAN, n)
-        view = lambda back: np.ndarray((e - a,), "<u8", room.data, far - back + a * STEP, (STEP,))  # noqa: B023, E731
-        i, j = np.searchsorted(last, a), np.searchsorted(first, b)
-        owner = np.searchsorted(first, np.arange(a, e), side="right") - 1
-        place = (np.arange(a, e) - first[owner]) * STEP
-        here, same = view(0).copy(), np.zeros(e - a, bool)
-        for lag in LAGS:
-            same |= (here == view(lag)) & (place >= lag)  # not beyond the text's start
-        same &= (here != 0) & (np.arange(a, e) != last[owner])  # nor from its padding into the next text
-        run = np.concatenate([[0], np.cumsum(same)])
-        inside = np.minimum(np.arange(a, b) + SPAN, last[owner[: b - a]] + 1) - a
-        share = (run[inside] - run[: b - a]).astype(np.float32) / SPAN
-        out[i:j] = np.maximum(out[i:j], np.maximum.reduceat(share, np.maximum(first[i:j], a) - a))
-    return out
-
-
-def gradient(net: ByteNet, texts: list[bytes], labels: np.ndarray, weight: np.ndarray, echo: np.ndarray) -> tuple[float, list[np.ndarray]]:
+def gradient(net: ByteNet, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """(weighted cross-entropy of a batch, its derivative by each of the net's weights)."""
     padded, first, blocks = chunks(*joined(texts))
     response = net.responses(padded)  # a batch whole, as its argmax is needed
     best = np.stack([f + response[f : f + b - 1].argmax(0) for f, b in zip(first, blocks)])
     top = np.take_along_axis(response, best, 0) + net.bias
-    feature = np.concatenate([np.maximum(top, 0), echo[:, None]], 1)
+    feature = np.maximum(top, 0)
     p = 1 / (1 + np.exp(-(feature @ net.unit + net.shift[0])))
     loss = -(weight * np.log(np.where(labels == 1, p, 1 - p) + 1e-12)).mean()
     wrong = (p - labels) * weight / len(labels)
-    back = wrong[:, None] * net.unit[:FILTERS] * (top > 0)
+    back = wrong[:, None] * net.unit * (top > 0)
     byte = padded.reshape(-1, STEP)[best[..., None] + np.arange(2)].reshape(*best.shape, 2 * STEP)
     seen = net.embed[byte].reshape(*best.shape, 2 * STEP * DIMS)
     g_embed = np.zeros_like(net.embed)
@@ -133,7 +102,7 @@ def gradient(net: ByteNet, texts: list[bytes], labels: np.ndarray, weight: np.nd
     return float(loss), [g_embed, np.einsum("nf,nfk->kf", back, seen), feature.T @ wrong, back.sum(0), wrong.sum(keepdims=True)]
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteNet:
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteNet:
     """Fit by Adam on cross-entropy with the two labels weighed alike."""
     net = ByteNet(seed)
     labels = np.asarray(labels, np.float32)
@@ -143,13 +112,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     rng = np.random.default_rng(seed)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
-    echo = np.concatenate([echoes(*chunks(*joined(texts[a : a + 256]))) for a in range(0, len(texts), 256)])
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            _, slopes = gradient(net, [texts[i] for i in pick], labels[pick], weight[pick], echo[pick])
+            _, slopes = gradient(net, [texts[i] for i in pick], labels[pick], weight[pick])
             step += 1
             pace = rate * (0.3 ** (epoch / epochs))
             for w, (m, v), g in zip(net.weights(), moments, slopes):

@@ -91,6 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from siltstone.llm import lines, mixing, topk
+    from siltstone.llm import lines, mixing, substrings, topk
 
-    return {"op1_mix": mixing.ORACLE, "op2_topk": topk.ORACLE, "op3_lines": lines.ORACLE}
+    return {"op1_mix": mixing.ORACLE, "op2_topk": topk.ORACLE, "op3_lines": lines.ORACLE, "op8_substrings": substrings.ORACLE}

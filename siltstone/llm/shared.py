@@ -13,7 +13,9 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spark then removes a write's shuffle files as soon as the write has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -70,3 +72,9 @@ def erase(*tables: DataFrame) -> None:
     """Delete tables that ``written`` gave and that nothing reads any more."""
     for t in tables:
         _remove(t.sparkSession, _paths.pop(t))
+
+
+def known_id(docs: DataFrame, id_col: str) -> Column:
+    """The id in its own type, a null as 0 or empty; whether it is null has to stand beside it."""
+    kind = docs.schema[id_col].dataType
+    return F.coalesce(F.col(id_col), F.lit(0 if isinstance(kind, T.NumericType) else "").cast(kind))

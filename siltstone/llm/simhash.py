@@ -58,7 +58,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.batches import append_columns, slices, text_bytes
 from siltstone.llm.components import components
-from siltstone.llm.shared import written
+from siltstone.llm.shared import known_id, written
 
 SHINGLE, SEED = 4, 42
 #: Fingerprints that one task compares with each other at most.
@@ -379,7 +379,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_co
 
     fields = [T.StructField("node", T.BinaryType()), T.StructField("ways", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType())]
     marked = written(append_columns(rows, "text", fields, sketches).drop("text"), "sketches")
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "row"))
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), known_id(rows, "doc_id").alias("doc"), "row"))
     nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), place.alias("at"), F.first("ways").alias("ways"), F.first("wide").alias("wide")), "nodes")
     dealt = nodes.select("node", "wide", F.posexplode("ways").alias("way", "bits"))
 
@@ -391,25 +391,25 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_co
 
     found = by_group(in_blocks(dealt, block, "node"), edges, "u binary, v binary, far int")
     found = written(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("far").alias("far")), "near")
-    certain = found.where(F.col("far") <= sure).select("u", "v")
-    named = components(certain)
+    named = components(found.where(F.col("far") <= sure).select("u", "v"))
     joined = found.where(F.col("far") > sure)
     for end in ("u", "v"):
         joined = joined.join(named.withColumnsRenamed({"node": end, "root": f"{end}_root"}), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    open_ = written(joined.where("u_root <> v_root").select("u", "v"), "open")
-    linked = certain.unionByName(_verified(rows, nodes, open_, similarity, size))
-    named = components(linked)
+    open_ = written(joined.where("u_root <> v_root").select("u", "v", "u_root", "v_root"), "open")
+    # links between classes of certain links; what is left to join are those classes
+    linked = components(_verified(rows, nodes, open_, similarity, size))
     rooted = nodes.select("node", "least").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(linked.withColumnsRenamed({"node": "root", "root": "top"}), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("node", "root").join(least, "root").select("node", "component_id", F.lower(F.hex("root")).alias("class"))
     return marked.select("doc_id", "row", "node").join(classes, "node").select("doc_id", "row", "component_id", "class")
 
 
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets of shingles are similar enough, by one document of each."""
+    """u, v: the classes (u_root, v_root) of the pairs of nodes whose sets of shingles are similar enough, by one document of each."""
     ends = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
     wanted = nodes.join(ends, nodes.node == ends.u, "left_semi").select("node", "at.*").withColumnRenamed("row", "__row")
-    texts = rows.withColumns({"nil": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0)), "__row": F.col("row")}).select("nil", "doc", "__row", "text")
+    texts = rows.withColumns({"nil": F.col("doc_id").isNull(), "doc": known_id(rows, "doc_id"), "__row": F.col("row")}).select("nil", "doc", "__row", "text")
 
     def run(batches):
         for batch in batches:
@@ -421,8 +421,8 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     sets = written(sets.dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    both = both.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("all"))
-    return written(both.where(F.col("shared") >= F.col("all") * similarity).select("u", "v"), "verified")
+    both = both.select("u_root", "v_root", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("all"))
+    return written(both.where(F.col("shared") >= F.col("all") * similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")), "verified")
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
@@ -435,8 +435,8 @@ def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text
         found = near_duplicates(docs, distance, id_col, text_col)
     else:
         found = similar_texts(docs, similarity, id_col=id_col, text_col=text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), F.col("doc_id"), F.col("row")))
-    stay = found.groupBy("class").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("__doc"), F.col("k.nil").alias("__nil"), F.col("k.row").alias("__row"))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col), F.lit(0)), "__nil": F.col(id_col).isNull(), "__row": F.xxhash64(text_col)})
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), known_id(found, "doc_id").alias("doc"), F.col("row")))
+    stay = found.groupBy("class").agg(first.alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.nil").alias("__nil"), F.col("k.row").alias("__row"))
+    keyed = docs.withColumns({"__doc": known_id(docs, id_col), "__nil": F.col(id_col).isNull(), "__row": F.xxhash64(text_col)})
     kept = keyed.join(stay, ["__doc", "__nil", "__row"], "left_semi")
     return kept.dropDuplicates(["__doc", "__nil", "__row"]).drop("__doc", "__nil", "__row")

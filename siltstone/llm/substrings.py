@@ -26,8 +26,8 @@ rests on the words alone, whatever the hashes do.
 Result: a word is removed if a window that covers it starts also in a document
 with a smaller doc_id, judged on the input.
 
-Edge cases: null texts have no words; texts shorter than a window keep all; a
-null doc_id counts as larger than all others; rows with equal doc_id don't
+Edge cases: ids are integers; null texts have no words; texts shorter than a
+window keep all; a null doc_id counts as larger than all others; rows with equal doc_id don't
 remove from one another and are told apart by 64 bits of their text's hash;
 repeated rows each get their row; an empty table gives no rows; texts are read
 whole; other columns are ignored.
@@ -457,3 +457,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         done = written(_mended(named, paths, done, false, seed).select("doc_id", "n_words", "n_removed", "kept_sha256"), "mended")
     erase(paths, wrong)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS key, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT rid, key, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM d),
+n AS (SELECT rid, key, pos, {thirteen} AS win FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+f AS (SELECT win, min(key) AS first FROM n WHERE win IS NOT NULL GROUP BY win),
+g AS (SELECT DISTINCT rid, unnest(range(pos, pos + 13)) AS pos FROM n JOIN f USING (win) WHERE first < key),
+k AS (SELECT w.rid, count(g.pos) AS gone, string_agg(word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS kept FROM w LEFT JOIN g ON w.rid = g.rid AND w.pos = g.pos GROUP BY w.rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+""".replace("{thirteen}", " || ' ' || ".join(["word", *[f"lead(word, {i}) OVER o" for i in range(1, WINDOW)]]))

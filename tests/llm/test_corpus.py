@@ -47,6 +47,14 @@ def test_mix_is_exact_and_rerun_agrees(spark):
     assert mix(df.where("false")).count() == 0
 
 
+def test_mix_of_rows_without_an_id(spark):
+    """Keys that most rows share are cut into ranges, and the result is that of one order."""
+    rows = [(None, "w " * (i % 9) + f"x{i}", "s0") for i in range(400)] + [(7, "v " * (i % 5) + f"y{i}", "s0") for i in range(200)] + [(1000 + i, "u " * (i % 4), f"s{i % 2}") for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    runs = [sorted(map(tuple, mix(df, rows_per_range=n).collect()), key=str) for n in (100_000, 8)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+
+
 def test_mixed_repeats_rows(spark):
     rows = [(i, f"t{i} " * 5, "ab"[i % 2]) for i in range(40)]
     out = mixed(spark.createDataFrame(rows, DOCS))
@@ -159,6 +167,16 @@ def test_lines_sketch_and_exact_agree_when_all_is_near(spark):
     assert drop_shared_lines(df.where("false")).count() == 0
 
 
+def test_ids_may_be_strings(spark):
+    """Lines, near-duplicates and the mix compare ids in their own type."""
+    rows = [(None if i % 10 == 3 else f"d{i:02}", f"own {i}\nshared by all of the sites\n" + "w " * i, f"s{i % 8}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    kept = [r.doc_id for r in drop_shared_lines(df).collect() if "shared" in r.text]
+    assert kept == ["d00"]
+    assert {r.doc_id for r in simhash.one_of_each(df, similarity=0.8).collect()} <= {r[0] for r in rows}
+    assert mixed(df).count() > 0 and simhash.one_of_each(df).count() > 0
+
+
 def test_lines_use_no_python(spark):
     df = spark.createDataFrame([(1, "a\nb", "s")], DOCS)
     plan = drop_shared_lines(df)._jdf.queryExecution().executedPlan().toString()
@@ -356,6 +374,8 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {k: 100 for k in range(101, 160)} | {300: 299}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    names = [("b", "a"), ("c", "b"), (None, "a"), ("z", None), ("q", "q"), ("y", "x"), ("x", "y")]
+    assert {r.node: r.root for r in components(spark.createDataFrame(names, "u string, v string")).collect()} == {"b": "a", "c": "a", "y": "x"}
 
 
 # -- substrings ---------------------------------------------------------------
