@@ -2,14 +2,17 @@
 
 A code of 64 bits is cut into segments, about as wide as the number of
 distinct codes has bits, and a table of postings leads from (segment, value)
-to the codes that have it. In round r each query still open looks up the
-values that differ from its own in r bits, in every segment, and the full
-Hamming distance of what it finds is verified. After it every code within
-``segments * (r + 1) - 1`` bits has been seen (a farther one alone can differ
-by more than r in each segment), so a query is closed as soon as its k-th best
-distance is no more than that. The answer is exact.
-
-A pair shows up in one segment and round only: where its difference is the
+to the codes that have it. Each query still open looks up the values that differ
+from its own in up to r bits, in every segment, and the full Hamming distance
+of what it finds is verified. Then every code within ``segments * (r + 1) - 1``
+bits has been seen (a farther one alone can differ by more than r in each
+segment), so a query is closed as soon as its k-th best distance is no more
+than that; r grows by one a round until all are. The first round goes to the
+radius at which random codes would be closed where that takes few look-ups,
+else to the one below, as the radii up to that one together are a fraction of
+the next. The answer is exact.
+
+A pair shows up at one segment and radius only: where its difference is the
 least, the first such segment. Queries of one code are searched for once, and
 codes that many rows have are one entry with the ids that an answer can need,
 so copies cost nothing. A round's k-th distance comes from counts by distance,
@@ -28,7 +31,7 @@ as positive, NaN as negative.
 from __future__ import annotations
 
 from functools import reduce
-from math import log2
+from math import ceil, comb, log2
 from operator import and_
 
 from pyspark.sql import DataFrame, Window
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import written
 
 BITS = 64
+#: Look-ups of a round that are worth less than a round.
+FEW = 1 << 22
 
 
 def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -57,7 +62,7 @@ def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def segments_for(codes: int) -> list[tuple[int, int]]:
     """(first bit, width) of each segment, for a number of distinct codes."""
-    n = min(max(round(BITS / max(2.0, log2(max(codes, 2)))), 2), 32)
+    n = min(max(ceil(BITS / max(2.0, log2(max(codes, 2)))), 2), 32)
     edges = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -70,20 +75,36 @@ def _values(code, cut: list[tuple[int, int]]):
     return F.posexplode(F.array(*[_segment(code, *c) for c in cut])).alias("segment", "value")
 
 
-def _probes(live: DataFrame, cut: list[tuple[int, int]], radius: int) -> DataFrame:
-    """q, segment, value: what the queries look up at a radius; each set of flipped bits comes once, in rising order."""
-    out = live.select("q", _values(F.col("q"), cut)).withColumn("last", F.lit(-1))
-    width = F.element_at(F.array(*[F.lit(w) for _, w in cut]), F.col("segment") + 1)
-    for _ in range(radius):
-        out = out.where(F.col("last") + 1 < width).withColumn("last", F.explode(F.sequence(F.col("last") + 1, width - 1)))
-        out = out.withColumn("value", F.expr("value ^ shiftleft(1L, last)"))
-    return out.drop("last")
+def first_radius(codes: int, queries: int, k: int, cut: list[tuple[int, int]]) -> int:
+    """The radius that would close queries of ``codes`` random codes, or that below it if this takes over ``FEW`` look-ups."""
+    within = 0
+    for far in range(BITS):
+        within += comb(BITS, far)
+        if codes * within >= k << BITS:
+            break
+    radius = max(0, ceil((far + 1) / len(cut)) - 1)
+    looks = queries * sum(comb(w, r) for _, w in cut for r in range(radius + 1))
+    return radius if looks <= FEW else max(0, radius - 1)
 
 
-def _found(live: DataFrame, postings: DataFrame, cut: list[tuple[int, int]], radius: int) -> DataFrame:
-    """q, code, rows, distance of the pairs that show up first at this radius."""
-    pairs = _probes(live, cut, radius).join(postings, ["segment", "value"])
-    apart = F.col("q").bitwiseXOR(F.col("code"))
+def _probes(live: DataFrame, cut: list[tuple[int, int]], radii: range) -> DataFrame:
+    """q, segment, value, radius: what the queries look up; each set of flipped bits comes once, in rising order."""
+    out = live.select("q", _values(F.col("q"), cut)).withColumn("last", F.lit(-1))
+    width = F.element_at(F.array(*[F.lit(w) for _, w in cut]), F.col("segment") + 1)
+    parts = []
+    for radius in range(radii.stop):
+        if radius:
+            out = out.where(F.col("last") + 1 < width).withColumn("last", F.explode(F.sequence(F.col("last") + 1, width - 1)))
+            out = out.withColumn("value", F.expr("value ^ shiftleft(1L, last)"))
+        if radius in radii:
+            parts.append(out.withColumn("radius", F.lit(radius)))
+    return reduce(DataFrame.unionByName, parts).drop("last")
+
+
+def _found(live: DataFrame, postings: DataFrame, cut: list[tuple[int, int]], radii: range) -> DataFrame:
+    """q, code, rows, distance of the pairs that show up first at these radii."""
+    pairs = _probes(live, cut, radii).join(postings, ["segment", "value"])
+    apart, radius = F.col("q").bitwiseXOR(F.col("code")), F.col("radius")
     first = []
     for n, c in enumerate(cut):
         bits = F.bit_count(_segment(apart, *c))
@@ -101,24 +122,26 @@ def _nearest(found: DataFrame, live: DataFrame) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, neighbor_id, distance. vectors and queries: id and code, as from binary_codes."""
-    each = vectors.groupBy("code", "id").agg(F.count("*").alias("n"))
-    totals = each.groupBy("code").agg(F.sum("n").alias("rows"))
     # k + 1 ids of a code are the most that an answer can need: k, and the query's own; Spark applies
     # this limit before the shuffle too, so copies of one code don't meet in a task
-    held = each.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("place") <= k + 1)
-    held = held.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n")))).alias("ids"))
-    entries = written(held.join(totals, "code"), "entries")
-    asked = written(queries.select("id", F.col("code").alias("q")).distinct(), "asked")
+    held = vectors.groupBy("code", "id").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("place") <= k + 1)
+    ids = F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n"))))
+    entries = written(held.groupBy("code").agg(ids.alias("ids"), F.sum("n").alias("rows")), "entries")
     # as many rows more than k as the asking id may have itself
-    own = each.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("own"))
-    live = written(asked.join(own, "id", "left").groupBy("q").agg((F.max(F.coalesce("own", F.lit(0))) + k).alias("need")), "queries")
-    cut = segments_for(entries.count())
+    asked = queries.select("id", F.col("code").alias("q")).distinct()
+    own = vectors.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+    asked = written(asked.join(own, "id", "left").withColumn("need", F.coalesce("own", F.lit(0)) + k), "asked")
+    live = asked.groupBy("q").agg(F.max("need").alias("need"))
+    codes = entries.count()
+    cut = segments_for(codes)
     postings = entries.select("code", "rows", _values(F.col("code"), cut))
-    open_, closed = None, []
-    for radius in range(max(w for _, w in cut) + 1):
-        new = _found(live, postings, cut, radius)
-        near = written(_nearest(new if open_ is None else open_.drop("kth").unionByName(new), live), f"radius-{radius}")
-        sure = F.coalesce(F.col("kth") < len(cut) * (radius + 1), F.lit(False))
+    open_, closed, seen = None, [], 0
+    start, widest = first_radius(codes, asked.count(), k, cut), max(w for _, w in cut)
+    while seen <= widest:
+        radii = range(seen, max(seen, min(start, widest)) + 1)
+        new, seen = _found(live, postings, cut, radii), radii.stop
+        near = written(_nearest(new if open_ is None else open_.drop("kth").unionByName(new), live), f"radius-{seen - 1}")
+        sure = F.coalesce(F.col("kth") < len(cut) * seen, F.lit(False))
         closed.append(near.where(sure))
         open_ = near.where(~sure)
         live = live.join(closed[-1].select("q").distinct(), "q", "left_anti")
