@@ -399,7 +399,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_co
     # links between classes of certain links; what is left to join are those classes
     linked = components(_verified(rows, nodes, open_, similarity, size))
     rooted = nodes.select("node", "least").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(linked.withColumnsRenamed({"node": "root", "root": "top"}), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
+    rooted = rooted.join(linked.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("node", "root").join(least, "root").select("node", "component_id", F.lower(F.hex("root")).alias("class"))
     return marked.select("doc_id", "row", "node").join(classes, "node").select("doc_id", "row", "component_id", "class")
