@@ -27,7 +27,7 @@ steps, each written to the shared folder.
 shingles have a Jaccard similarity of 0.8 or more. That is some 10 of 64 bits,
 and up to 24 in rare cases, too wide a radius for dealing by agreeing parts.
 So texts meet where two minimum shingle hashes agree, in one of ``WAYS`` ways
-(a pair of similarity 0.8 meets with probability 0.998), the same index prunes
+(a pair of similarity 0.8 meets with probability 0.9997), the same index prunes
 each group by the first word of a fingerprint of ``WIDE`` words, and all its
 words measure the pairs that are left. Of these a task keeps the minimum
 spanning forest, and every link of it that the wide fingerprint doesn't settle
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
 # -- by similarity of the shingle sets -------------------------------------
 
 #: Words of the wide fingerprint; ways in which two minimum hashes bring texts together; pairs measured at once.
-WIDE, WAYS, MEASURED = 8, 6, 1 << 18
+WIDE, WAYS, MEASURED = 8, 8, 1 << 18
 ODD = np.random.default_rng(64).integers(0, 2**63, WIDE + 2 * WAYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
