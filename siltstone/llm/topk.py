@@ -87,37 +87,43 @@ def first_radius(codes: int, queries: int, k: int, cut: list[tuple[int, int]]) -
     return radius if looks <= FEW else max(0, radius - 1)
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join without broadcast, as every side here grows with codes or queries."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _probes(live: DataFrame, cut: list[tuple[int, int]], radii: range) -> DataFrame:
-    """q, segment, value, radius: what the queries look up; each set of flipped bits comes once, in rising order."""
-    out = live.select("q", _values(F.col("q"), cut)).withColumn("last", F.lit(-1))
+    """q, need, segment, value, radius: what the queries look up.
+
+    Each step flips one bit behind the last flipped, or none from there on, so
+    each set of bits comes once.
+    """
+    out = live.select("q", "need", _values(F.col("q"), cut)).withColumns({"last": F.lit(-1), "radius": F.lit(0)})
     width = F.element_at(F.array(*[F.lit(w) for _, w in cut]), F.col("segment") + 1)
-    parts = []
-    for radius in range(radii.stop):
-        if radius:
-            out = out.where(F.col("last") + 1 < width).withColumn("last", F.explode(F.sequence(F.col("last") + 1, width - 1)))
-            out = out.withColumn("value", F.expr("value ^ shiftleft(1L, last)"))
-        if radius in radii:
-            parts.append(out.withColumn("radius", F.lit(radius)))
-    return reduce(DataFrame.unionByName, parts).drop("last")
+    for _ in range(radii.stop - 1):
+        out = out.withColumn("last", F.explode(F.sequence(F.least(F.col("last") + 1, width), width)))
+        flips = F.col("last") < width
+        out = out.withColumns({"value": F.when(flips, F.expr("value ^ shiftleft(1L, last)")).otherwise(F.col("value")), "radius": F.col("radius") + flips.cast("int")})
+    return out.where(F.col("radius") >= radii.start).drop("last")
 
 
 def _found(live: DataFrame, postings: DataFrame, cut: list[tuple[int, int]], radii: range) -> DataFrame:
-    """q, code, rows, distance of the pairs that show up first at these radii."""
-    pairs = _probes(live, cut, radii).join(postings, ["segment", "value"])
+    """q, need, code, rows, distance of the pairs that show up first at these radii."""
+    pairs = _joined(_probes(live, cut, radii), postings, ["segment", "value"])
     apart, radius = F.col("q").bitwiseXOR(F.col("code")), F.col("radius")
     first = []
     for n, c in enumerate(cut):
         bits = F.bit_count(_segment(apart, *c))
         first.append(F.when(F.col("segment") > n, bits > radius).otherwise(bits >= radius))
-    return pairs.where(reduce(and_, first)).select("q", "code", "rows", F.bit_count(apart).alias("distance"))
+    return pairs.where(reduce(and_, first)).select("q", "need", "code", "rows", F.bit_count(apart).alias("distance"))
 
 
-def _nearest(found: DataFrame, live: DataFrame) -> DataFrame:
+def _nearest(found: DataFrame) -> DataFrame:
     """found as far as each query's needed number of rows reaches, with that distance (kth; null if there are too few)."""
-    counts = found.groupBy("q", "distance").agg(F.sum("rows").alias("rows")).join(live, "q")
+    counts = found.groupBy("q", "need", "distance").agg(F.sum("rows").alias("rows"))
     upto = F.sum("rows").over(Window.partitionBy("q").orderBy("distance"))  # 65 distances at most
     kth = counts.withColumn("upto", upto).where(F.col("upto") >= F.col("need")).groupBy("q").agg(F.min("distance").alias("kth"))
-    return found.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth")))
+    return _joined(found, kth, "q", "left").where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -129,8 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     entries = written(held.groupBy("code").agg(ids.alias("ids"), F.sum("n").alias("rows")), "entries")
     # as many rows more than k as the asking id may have itself
     asked = queries.select("id", F.col("code").alias("q")).distinct()
-    own = vectors.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
-    asked = written(asked.join(own, "id", "left").withColumn("need", F.coalesce("own", F.lit(0)) + k), "asked")
+    own = _joined(vectors, asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+    asked = written(_joined(asked, own, "id", "left").withColumn("need", F.coalesce("own", F.lit(0)) + k), "asked")
     live = asked.groupBy("q").agg(F.max("need").alias("need"))
     codes = entries.count()
     cut = segments_for(codes)
@@ -140,17 +146,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     while seen <= widest:
         radii = range(seen, max(seen, min(start, widest)) + 1)
         new, seen = _found(live, postings, cut, radii), radii.stop
-        near = written(_nearest(new if open_ is None else open_.drop("kth").unionByName(new), live), f"radius-{seen - 1}")
+        near = written(_nearest(new if open_ is None else open_.drop("kth").unionByName(new)), f"radius-{seen - 1}")
         sure = F.coalesce(F.col("kth") < len(cut) * seen, F.lit(False))
         closed.append(near.where(sure))
         open_ = near.where(~sure)
-        live = live.join(closed[-1].select("q").distinct(), "q", "left_anti")
+        live = _joined(live, closed[-1].select("q").distinct(), "q", "left_anti")
         if live.isEmpty():
             break
     else:
         closed.append(open_)  # all there is has been seen
-    best = reduce(DataFrame.unionByName, closed).select("q", "code", "distance").join(asked, "q").withColumnRenamed("id", "query_id")
-    rows = best.join(entries.select("code", "ids"), "code").select("query_id", "q", "distance", F.inline("ids")).where("id <> query_id")
+    best = reduce(DataFrame.unionByName, closed).select("q", "code", "distance")
+    best = _joined(best, asked.select("q", F.col("id").alias("query_id")), "q")
+    rows = _joined(best, entries.select("code", "ids"), "code").select("query_id", "q", "distance", F.inline("ids")).where("id <> query_id")
     rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     order = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("distance", "id"))
     return rows.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbor_id"), F.col("distance").cast("int").alias("distance"))
