@@ -42,14 +42,14 @@ _one, _many = _rare_folds()
 
 def _class(letters: str) -> str:
     """A character class of ranges; Java tries the parts of a class one by one."""
-    points = sorted(map(ord, letters))
-    first = [p for p in points if p - 1 not in points]
-    last = [p for p in points if p + 1 not in points]
+    points = set(map(ord, letters))
+    first = sorted(p for p in points if p - 1 not in points)
+    last = sorted(p for p in points if p + 1 not in points)
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(first, last)) + "]"
 
 
-#: Where a rare letter may be: beyond Latin with its common accents. One range, so that other text passes fast.
-_BEYOND = f"[^\\x00-\\x{{{min(map(ord, [*_one, *_many]), key=lambda p: (p < 0x100, p)) - 1:X}}}]|[" + "".join(c for c in [*_one, *_many] if ord(c) < 0x100) + "]"
+#: Where a rare letter may be: whatever is no plain Latin letter, with or without common accents. Other text passes fast.
+_BEYOND = "[^" + _class("".join(chr(p) for p in range(min(ord(c) for c in [*_one, *_many] if ord(c) > 0xFF)) if chr(p) not in _one))[1:]
 _SEVERAL = _class("".join(_many))
 
 
@@ -59,7 +59,8 @@ def fold(c: Column | str) -> Column:
     ones = F.translate(low, "".join(_one), "".join(_one.values()))
     table = F.create_map(*[F.lit(x) for pair in _many.items() for x in pair])
     several = F.array_join(F.transform(F.split(ones, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(~F.rlike(low, F.lit(_BEYOND)), low).when(F.rlike(ones, F.lit(_SEVERAL)), several).otherwise(ones)
+    plain = (F.length(low) == F.octet_length(low)) | ~F.rlike(low, F.lit(_BEYOND))  # ASCII, or nearly
+    return F.when(plain, low).when(F.rlike(ones, F.lit(_SEVERAL)), several).otherwise(ones)
 
 
 def fold_text(s: str) -> str:

@@ -15,7 +15,9 @@ from siltstone.operators.fields import BadQuery
 
 
 class Rule(Protocol):
-    def column(self, text: Column, fold_case: bool) -> Column: ...
+    def column(self, text: Column, fold_case: bool) -> Column:
+        """Does the text satisfy the rule? With ``fold_case`` the text is folded already, and terms have to be."""
+        ...
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,7 @@ class Term:
             raise BadQuery("a term is blank")
 
     def column(self, text, fold_case):
-        return F.contains(fold(text), F.lit(fold_text(self.text))) if fold_case else F.contains(text, F.lit(self.text))
+        return F.contains(text, F.lit(fold_text(self.text) if fold_case else self.text))
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,11 @@ class LexicalQuery:
         return MatchAll() if not parts else parts[0] if len(parts) == 1 else And(tuple(parts))
 
     def column(self, text: Column | str = "text") -> Column:
-        return self.rule().column(as_col(text), not self.case_sensitive)
+        rule = self.rule()
+        if self.case_sensitive or isinstance(rule, MatchAll):
+            return rule.column(as_col(text), False)
+        # one element, so that the text is folded once for all terms
+        return F.exists(F.array(fold(text)), lambda folded: rule.column(folded, True))
 
 
 def lexical_hits(docs: DataFrame, query: LexicalQuery, id_col: str = "id", text_col: str = "text") -> DataFrame:
