@@ -24,7 +24,8 @@ SALTS = 16
 def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
     """edges (u, v) with their u's m."""
     dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["u", "salt"]).drop("salt")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(least.hint("merge"), ["u", "salt"]).drop("salt")  # it grows with the links: never a broadcast
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
