@@ -31,9 +31,15 @@ So texts meet where two minimum shingle hashes agree, in one of ``WAYS`` ways
 each group by the first word of a fingerprint of ``WIDE`` words, and all its
 words measure the pairs that are left. Of these a task keeps the minimum
 spanning forest, and every link of it that the wide fingerprint doesn't settle
-by itself is verified by the exact similarity of the two sets. A link can be
-missed only if texts don't meet, or if the nearest fingerprints between two
-clusters belong to a pair below the bound and another pair is above it.
+by itself is verified by the exact similarity of the two sets. That gives most
+of every class at little cost, but not all links: texts may not meet, short
+sets may have far fingerprints, and the forest may hold a pair below the bound
+in place of one above it. So an exact step follows. All sets are put into one
+order, rare shingles first; two sets similar enough share a shingle among the
+leading fifth of each (prefix filter), at places that leave room for the rest
+of their overlap. All pairs that meet there in different classes are verified
+by their sets, which completes the classes. How frequent a shingle is comes
+from a sample and sets only the order: any order gives the same links.
 
 Edge cases: null, empty and blank texts have fingerprint zero, and it is
 linked like any other; fewer than four words are one shingle; texts are read
@@ -46,11 +52,12 @@ all texts without words.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import combinations
+from collections.abc import Callable, Iterable
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +65,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.batches import append_columns, slices, text_bytes
 from siltstone.llm.components import components
-from siltstone.llm.shared import known_id, written
+from siltstone.llm.shared import erase, known_id, written
 
 SHINGLE, SEED = 4, 42
 #: Fingerprints that one task compares with each other at most.
@@ -233,37 +240,45 @@ def in_blocks(dealt: DataFrame, block: int, by: str) -> DataFrame:
 KEYS = ["way", "bits", "a", "b"]
 
 
-def by_group(dealt: DataFrame, make: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """make(rows of whole groups) over all rows, some 65,000 at a time."""
+def by_group(dealt: DataFrame, make: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, keys: list[str] = KEYS, over: Callable[[pa.Table], pa.RecordBatch] | None = None) -> DataFrame:
+    """make(rows of whole groups) over all rows, some 65,000 at a time; of a group larger than that, over(rows) piece by piece where given."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 1 << 16:
-                continue
+        rows, late = 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows < 1 << 16:
+                    continue
+            if not rows:
+                break
             whole = pa.Table.from_batches(held).combine_chunks()
-            cut = int(runs(*_columns(whole, KEYS))[-1])
+            starts = runs(*_columns(whole, keys))
+            cut = whole.num_rows if batch is None else int(starts[-1])
+            if over is not None:
+                key = [whole.column(k)[0].as_py() for k in keys]
+                if key == late or not cut:
+                    first = int(starts[1]) if len(starts) > 1 else whole.num_rows
+                    yield over(whole.slice(0, first))
+                    whole, cut, late = whole.slice(first), max(cut - first, 0), key
             if cut:
-                yield make(whole.slice(0, cut))
+                yield from make(whole.slice(0, cut))
             held = whole.slice(cut).to_batches()
             rows = whole.num_rows - cut
-        if held:
-            yield make(pa.Table.from_batches(held))
 
-    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, schema)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _columns(rows: pa.Table, keys: list[str]) -> list[np.ndarray]:
     return [rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
 
 
-def _groups(rows: pa.Table) -> np.ndarray:
+def _groups(rows: pa.Table, keys: list[str] = KEYS) -> np.ndarray:
     """The number of each row's group."""
     group = np.zeros(rows.num_rows, np.int64)
-    group[runs(*_columns(rows, KEYS))[1:]] = 1
+    group[runs(*_columns(rows, keys))[1:]] = 1
     return np.cumsum(group)
 
 
@@ -272,10 +287,10 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     ways = masks(plan(fps.count(), distance), distance)
     dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in ways])).alias("way", "bits"))
 
-    def edges(rows: pa.Table) -> pa.RecordBatch:
+    def edges(rows: pa.Table):
         (fp,) = _columns(rows, ["fp"])
         u, v = group_edges(_groups(rows), fp.astype(np.int64).view(np.uint64), distance)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return by_group(in_blocks(dealt, block, "fp"), edges, "u long, v long")
 
@@ -297,6 +312,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
 
 #: Words of the wide fingerprint; ways in which two minimum hashes bring texts together; pairs measured at once.
 WIDE, WAYS, MEASURED = 8, 8, 1 << 18
+#: One text in SAMPLED tells which shingles are frequent; the FREQUENT most frequent ones are put last in all sets.
+SAMPLED, FREQUENT = 16, 1 << 18
 ODD = np.random.default_rng(64).integers(0, 2**63, WIDE + 2 * WAYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -312,16 +329,31 @@ def expected(similarity: float, bits: int, sigmas: float) -> int:
     return int(round(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5))
 
 
-def sketch(text: bytes, size: int) -> tuple[bytes, list[int], bytes]:
-    """(digest of the words, a key for each way, the wide fingerprint) of a text's set of shingles."""
+def overlap(similarity: float, n: np.ndarray | int) -> np.ndarray:
+    """The least whole number of shared shingles that is ``similarity`` of ``n``."""
+    return np.ceil(similarity * n - 1e-6).astype(np.int64)
+
+
+def leading(h: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's hashes, the rarest first, so many that one of them is in any similar set."""
+    known, count = often
+    rank = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        rank = np.where(known[at] == h, count[at], 0)
+    return h[np.lexsort((h, rank))[: len(h) - int(overlap(similarity, len(h))) + 1]]
+
+
+def sketch(text: bytes, size: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, list[int], bytes, int, np.ndarray]:
+    """(digest of the words, a key for each way, the wide fingerprint, size, leading hashes) of a text's set of shingles."""
     h, flat = shingles(text, size)
     h = np.unique(h)
     node = xxhash.xxh3_128_digest(flat)
     if not len(h):
-        return node, [0] * WAYS, bytes(8 * WIDE)
+        return node, [0] * WAYS, bytes(8 * WIDE), 0, h.view(np.int64)
     wide = np.array([majority(remixed(h, k)) for k in range(WIDE)], "<u8")
     least = np.array([remixed(h, WIDE + k).min() for k in range(2 * WAYS)]).reshape(WAYS, 2)
-    return node, (least[:, 0] ^ remixed(least[:, 1], 0)).view(np.int64).tolist(), wide.tobytes()
+    return node, (least[:, 0] ^ remixed(least[:, 1], 0)).view(np.int64).tolist(), wide.tobytes(), len(h), leading(h, similarity, often).view(np.int64)
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -365,6 +397,95 @@ def near_edges(group: np.ndarray, wide: np.ndarray, radius: int, most: int) -> t
     return order[i[stay]], order[j[stay]], d[stay]
 
 
+def _item_sets(batch: pa.RecordBatch, size: int):
+    """Yields (slice of the batch, the sorted distinct shingle hashes of each text)."""
+    for part in slices(batch, "text"):
+        yield part, [np.unique(shingles(t, size)[0]).view(np.int64) for t in text_bytes(part.column("text"))]
+
+
+def frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, texts of the sample that hold each): the most frequent shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for _, made in _item_sets(batch, size):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made))], names=["item"])
+
+    some = rows.where(F.pmod("row", F.lit(SAMPLED)) == 0).dropDuplicates(["row"]).select("text")
+    held = written(some.mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
+    floor, total = None, 0
+    for n, items in held.groupBy("n").count().orderBy(F.desc("n")).collect():
+        total += items
+        if total > FREQUENT:
+            break
+        floor = n
+    top = held.where(F.lit(False) if floor is None else F.col("n") >= floor).toArrow().combine_chunks()
+    erase(held)
+    item, n = (c.astype(np.int64) for c in _columns(top, ["item", "n"]))
+    order = np.argsort(item.view(np.uint64))
+    return item.view(np.uint64)[order], n[order].astype(np.int32)
+
+
+def meetings(group: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float):
+    """Yields (i, j) arrays: rows of one group and two classes whose sets (n hashes, the shared one at place ``at``) can be similar enough."""
+    order = np.lexsort((n, group))
+    group, n, at, root = group[order], n[order], at[order], root[order]
+    key = (group << 40) + n
+    ways = np.searchsorted(key, (group << 40) + np.floor(n / similarity + 1e-6).astype(np.int64), "right") - np.arange(len(n)) - 1
+    ends = np.cumsum(ways)
+    bounds = [0, *(np.flatnonzero(np.diff(ends // MEASURED)) + 1), len(n)]
+    for a, b in zip(bounds, bounds[1:]):
+        i = np.repeat(np.arange(a, b), ways[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[a:b] - ways[a:b] - (ends[a - 1] if a else 0), ways[a:b])
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        keep = np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap(similarity / (1 + similarity), n[i] + n[j])
+        yield order[i[keep]], order[j[keep]]
+
+
+MET = "u binary, v binary, u_root binary, v_root binary, bits long, n int, at int"
+
+
+def prefix_pairs(leads: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """u, v, u_root, v_root: all pairs of ``leads`` (node, root, n, lead: leading hashes) of two roots that can be similar enough."""
+
+    def over(rows: pa.Table) -> pa.RecordBatch:
+        """Rows of a large group, as they are: v is null."""
+        none = pa.nulls(rows.num_rows, pa.binary())
+        made = [rows.column("node"), none, rows.column("root"), none, *(rows.column(c) for c in ("bits", "n", "at"))]
+        made = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made]
+        return pa.RecordBatch.from_arrays(made, names=["u", "v", "u_root", "v_root", "bits", "n", "at"])
+
+    def pairs(rows: pa.Table, keys: list[str]):
+        node = rows.column("node").combine_chunks()
+        root = pc.coalesce(rows.column("root").combine_chunks(), node)
+        n, at = (c.astype(np.int64) for c in _columns(rows, ["n", "at"]))
+        codes = node.dictionary_encode().indices.to_numpy().astype(np.int64)
+        for i, j in meetings(_groups(rows, keys), n, at, root.dictionary_encode().indices.to_numpy(), similarity):
+            _, once = np.unique((np.minimum(codes[i], codes[j]) << 32) + np.maximum(codes[i], codes[j]), return_index=True)
+            i, j = pa.array(i[once]), pa.array(j[once])
+            none = pa.nulls(len(once), pa.int32())
+            yield pa.RecordBatch.from_arrays([node.take(i), node.take(j), root.take(i), root.take(j), none.cast(pa.int64()), none, none], names=["u", "v", "u_root", "v_root", "bits", "n", "at"])
+
+    def small(rows: pa.Table):
+        group = _groups(rows, ["bits"])
+        count = np.bincount(group)[group]
+        if (count > block).any():
+            yield over(rows.filter(pa.array(count > block)))
+        rows = rows.filter(pa.array((count > 1) & (count <= block)))
+        if rows.num_rows:
+            yield from pairs(rows.combine_chunks(), ["bits"])
+
+    dealt = leads.select("node", "root", "n", F.posexplode("lead").alias("at", "bits"))
+    met = written(by_group(dealt, small, MET, ["bits"], over), "met")
+    large = met.where("v is null").select(F.lit(0).alias("way"), "bits", F.col("u").alias("node"), F.col("u_root").alias("root"), "n", "at")
+    rest = by_group(in_blocks(large, block, "node"), lambda rows: pairs(rows, KEYS), MET)
+    ends = [F.when(F.col("u") < F.col("v"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("u", "v", "u"), ("v", "u", "v"), ("u_root", "v_root", "u_root"), ("v_root", "u_root", "v_root"))]
+    out = written(met.where("v is not null").unionByName(rest).select(*ends).distinct(), "candidates")
+    erase(met)
+    return out
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, row (hash of the text), component_id (smallest doc_id of the class) and class of every document.
 
@@ -373,21 +494,27 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_co
     """
     radius, near, sure = expected(similarity, 64, 5), expected(similarity, 64 * WIDE, 6), expected(similarity, 64 * WIDE, -6)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    often = frequent(rows, size)
 
     def sketches():
-        return lambda part: [pa.array(c) for c in zip(*[sketch(t, size) for t in text_bytes(part.column("text"))])]
+        def make(part):
+            node, ways, wide, n, lead = zip(*[sketch(t, size, similarity, often) for t in text_bytes(part.column("text"))])
+            return [*map(pa.array, (node, ways, wide, n)), pa.array(lead, pa.list_(pa.int64()))]
+
+        return make
 
-    fields = [T.StructField("node", T.BinaryType()), T.StructField("ways", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType())]
+    longs = T.ArrayType(T.LongType())
+    fields = [T.StructField("node", T.BinaryType()), T.StructField("ways", longs), T.StructField("wide", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("lead", longs)]
     marked = written(append_columns(rows, "text", fields, sketches).drop("text"), "sketches")
     place = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), known_id(rows, "doc_id").alias("doc"), "row"))
     nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), place.alias("at"), F.first("ways").alias("ways"), F.first("wide").alias("wide")), "nodes")
     dealt = nodes.select("node", "wide", F.posexplode("ways").alias("way", "bits"))
 
-    def edges(rows: pa.Table) -> pa.RecordBatch:
+    def edges(rows: pa.Table):
         wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), "<u8").reshape(-1, WIDE)
         i, j, d = near_edges(_groups(rows), wide, radius, near)
         node = rows.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array(d.astype(np.int32))], names=["u", "v", "far"])
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array(d.astype(np.int32))], names=["u", "v", "far"])
 
     found = by_group(in_blocks(dealt, block, "node"), edges, "u binary, v binary, far int")
     found = written(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("far").alias("far")), "near")
@@ -398,13 +525,25 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_co
     open_ = written(joined.where("u_root <> v_root").select("u", "v", "u_root", "v_root"), "open")
     # links between classes of certain links; what is left to join are those classes
     linked = components(_verified(rows, nodes, open_, similarity, size))
+    erase(found, open_)
     rooted = nodes.select("node", "least").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(linked.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
+    rooted = written(_renamed(rooted, linked), "rooted")
+    # and all links that these ways may have missed
+    leads = marked.select("node", "n", "lead").where("n > 0").dropDuplicates(["node"])
+    leads = leads.join(rooted.where("root <> node").select("node", "root").hint("merge"), "node", "left")
+    pairs = prefix_pairs(leads, similarity, block)
+    rooted = _renamed(rooted, components(_verified(rows, nodes, pairs, similarity, size)))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("node", "root").join(least, "root").select("node", "component_id", F.lower(F.hex("root")).alias("class"))
     return marked.select("doc_id", "row", "node").join(classes, "node").select("doc_id", "row", "component_id", "class")
 
 
+def _renamed(rooted: DataFrame, linked: DataFrame) -> DataFrame:
+    """rooted (node, least, root) with the roots that ``linked`` (node, root) gives their roots."""
+    tops = linked.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return rooted.join(tops, "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
+
+
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
     """u, v: the classes (u_root, v_root) of the pairs of nodes whose sets of shingles are similar enough, by one document of each."""
     ends = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
@@ -413,8 +552,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                made = [np.unique(shingles(t, size)[0]).view(np.int64) for t in text_bytes(part.column("text"))]
+            for part, made in _item_sets(batch, size):
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "items"])
 
     sets = texts.join(wanted, ["nil", "doc", "__row"]).select("node", "text").mapInArrow(run, "node binary, items array<long>")
@@ -422,7 +560,9 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     both = both.select("u_root", "v_root", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("all"))
-    return written(both.where(F.col("shared") >= F.col("all") * similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")), "verified")
+    out = written(both.where(F.col("shared") >= F.col("all") * similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")), "verified")
+    erase(sets)
+    return out
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:

@@ -346,6 +346,37 @@ def test_similar_texts(spark, block):
     assert simhash.similar_texts(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+def test_similar_texts_lose_no_link(spark, block):
+    """Pairs of similarity 0.8 that meet in no way or have far fingerprints, or whose clusters' nearest pair is below the bound."""
+    short = [[f"{c}{k}" for c in "abcdefghi"] for k in (3294, 4071, 5604, 5740, 6073, 7306)]
+    rows = [" ".join(w[:n]) for w in short for n in (8, 9)]
+    for k in range(12):
+        a = [f"w{i}k{k}" for i in range(104)]
+        b = [*a[:30], "x", *a[31:60], "y", *a[61:-1], "z"]
+        rows += map(" ".join, (a, [*b[:-2], "u", "z"], b))  # a to the second 0.786, a to b 0.802
+    rows = list(enumerate(rows))
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert [found[d] for d, _ in rows] == similar_by_hand([t for _, t in rows])
+    assert len(set(found.values())) == 18
+
+
+def test_prefix_pairs_of_large_groups(spark):
+    """A group larger than a task's share is dealt out in blocks, and every pair in it that can be similar is given."""
+    n, most = 70_000, 1 << 16
+    dealt = spark.range(n).select(F.when(F.col("id") < n - 40, 0).otherwise(F.col("id") % 8).alias("bits"), "id")
+    seen = simhash.by_group(dealt, lambda t: [t.combine_chunks().to_batches()[0]], "bits long, id long", ["bits"], lambda t: t.select(["bits", "id"]).combine_chunks().to_batches()[0])
+    assert sorted(r.id for r in seen.collect()) == list(range(n)) and n > most
+    sets = [np.unique(np.random.default_rng(k // 4).integers(0, 40, 12 + k % 3)) for k in range(60)]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    rows = [(bytes([k]), None, len(h), simhash.leading(h.astype(np.uint64), 0.8, none).view(np.int64).tolist()) for k, h in enumerate(sets)]
+    leads = spark.createDataFrame(rows, "node binary, root binary, n int, lead array<long>")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    for block in (simhash.BLOCK, 2):
+        got = {(r.u[0], r.v[0]) for r in simhash.prefix_pairs(leads, 0.8, block).collect()}
+        assert want <= got and want
+
+
 def test_spanning_forest_is_the_least():
     rng = np.random.default_rng(3)
     for n, m in ((1, 0), (12, 30), (40, 400), (30, 10)):
